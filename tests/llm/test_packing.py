@@ -19,7 +19,7 @@ def test_encoder_equals_the_tokenizer():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(st.sampled_from("ab 'st\n\t.é1🙂 \x1d中"), max_size=60))
+@given(st.text(st.sampled_from("ab 'st²½ºª_٣\n\t.é1🙂 \x1d中"), max_size=60))
 def test_encoder_equals_the_tokenizer_on_odd_texts(t):
     assert np.frombuffer(encoder(PATH).encode(t), "<u4").tolist() == encoder(PATH).tokenizer.encode(t, add_special_tokens=False).ids
 
