@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, simhash, warc, winnowing
+from . import media, packing, simhash, toxicity, warc, winnowing
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -33,12 +33,16 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_texts(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_simhash_near_dedup, op4_winnowing, op5_warc_round_trip, op6_media_columns, op10_best_fit_packing)
+    made = (op1_simhash_near_dedup, op4_winnowing, op5_warc_round_trip, op6_media_columns, op7_toxicity, op10_best_fit_packing)
     return {f.__name__: f for f in made}
 
 

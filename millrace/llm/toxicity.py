@@ -1,12 +1,12 @@
 """Toxicity by a support vector machine over a gap-weighted subsequence kernel, with Nyström landmarks.
 
 A text's units are its words, lower-cased, without punctuation, spaced-out letters joined. The kernel
-of two words adds up their common subsequences of three characters, each discounted by the stretch it
-spans in either word, so inserted, dropped and repeated characters cost little. Training is by multiple
+of two words adds up their common subsequences of three characters within ``SPAN``, each discounted by the
+stretch it spans in either word, so inserted, dropped and repeated characters cost little. Training is by multiple
 instances: the labelled sentences of toxic documents hold at least one insult, those of clean ones none.
 A text is scored by its worst unit; units with a kernel below ``NEAR`` to every toxic landmark count as
-harmless, and an exact bound from the letters that a word shares with a landmark (a table over the
-subsets of the landmark's letters) tells most of these without computing the kernel.
+harmless, and a lower bound of a word's kernel with itself tells most of these after one table look-up
+for each of its triples.
 
 The model is fitted on the driver from a bounded sample: ``SAMPLE`` labelled documents a class, the
 first by hash, of at most ``SAMPLE_BYTES`` each. Everything else works on all rows and whole texts.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,11 +31,15 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 
-SAMPLE, SAMPLE_BYTES = 2500, 24_000
-TOXIC_LANDMARKS, CLEAN_LANDMARKS, LONGEST = 64, 24, 14
-DECAY, NEAR, FLOOR, REJECT = 0.7, 0.4, -1.0, 0.7
+SAMPLE, SAMPLE_BYTES = 3000, 24_000
+TOXIC_LANDMARKS, CLEAN_LANDMARKS, LONGEST = 40, 24, 14
+DECAY, SPAN, NEAR, FLOOR, REJECT = 0.7, 7, 0.45, -1.0, 0.7
+#: Decimal orders by which chance must fail to explain a character run of the toxic texts.
+EVIDENCE = 7.0
+RIDGE = 0.1
 _UNIT, _CACHE = 28, 500_000
 _PUNCTUATION = re.compile(r"[^\w\s]+|_+")
+_LEET = str.maketrans("013457", "oieast")
 _SPACED = re.compile(r"(?<!\S)\w(?:\s+\w)+(?!\S)")
 
 
@@ -45,31 +50,25 @@ def units(text: str | None) -> set[str]:
     found = set(t.split())
     out = {w for w in found if 3 <= len(w) <= _UNIT}
     for w in found:
+        if not w.isalpha() and any(c in w for c in "013457") and any(c.isalpha() for c in w):
+            plain = w.translate(_LEET)
+            if 3 <= len(plain) <= _UNIT:
+                out.add(plain)
         if len(w) > _UNIT:
             out.update(w[i : i + _UNIT] for i in range(0, len(w) - _UNIT // 2, _UNIT // 2))
     return out
 
 
-_steps: dict[tuple[int, int], np.ndarray] = {}
+_triples: dict[int, tuple[np.ndarray, ...]] = {}
 
 
-def _step(n: int, t: int) -> np.ndarray:
-    """Carries the weight of subsequences ending at a pair of positions to all later pairs, discounted."""
-    if (n, t) not in _steps:
-        decay = lambda k: np.triu(DECAY ** np.maximum(np.arange(k)[None, :] - np.arange(k)[:, None] - 1, 0), 1)
-        if len(_steps) > 600:
-            _steps.clear()
-        _steps[n, t] = np.kron(decay(n), decay(t)).astype(np.float32)
-    return _steps[n, t]
-
-
-def _weights(match: np.ndarray, n: int, t: int) -> np.ndarray:
-    """Kernel values from flattened n x t match matrices, one a row."""
-    m = match.astype(np.float32) * np.float32(DECAY * DECAY)
-    a = m
-    for _ in range(2):
-        a = m * (a @ _step(n, t))
-    return a.sum(axis=1)
+def _places(n: int) -> tuple[np.ndarray, ...]:
+    """All i < j < k below n with k - i < SPAN, and each triple's discount by the stretch it spans."""
+    if n not in _triples:
+        x = np.arange(n)
+        i, j, k = np.nonzero((x[:, None, None] < x[None, :, None]) & (x[None, :, None] < x[None, None, :]) & (x[None, None, :] - x[:, None, None] < SPAN))
+        _triples[n] = (i, j, k, (DECAY ** (k - i + 1.0)).astype(np.float32))
+    return _triples[n]
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -77,34 +76,119 @@ def _codes(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1)
 
 
-def self_kernel(codes: np.ndarray) -> np.ndarray:
-    n = codes.shape[1]
-    return np.concatenate([_weights((c[:, :, None] == c[:, None, :]).reshape(len(c), -1), n, n) for c in np.array_split(codes, max(1, len(codes) // 2048))])
+def _by_length(words: list[str]) -> dict[int, np.ndarray]:
+    by: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        by.setdefault(len(w), []).append(i)
+    return {n: np.array(at) for n, at in by.items() if n >= 3}
+
+
+def _own(words: list[str]) -> np.ndarray:
+    """Each word's kernel with itself."""
+    out = np.zeros(len(words))
+    for n, at in _by_length(words).items():
+        i, j, k, value = _places(n)
+        for part in np.array_split(at, max(1, len(at) * len(i) // 1_000_000)):
+            c = _codes([words[x] for x in part])
+            _, local = np.unique(c, return_inverse=True)
+            local = local.reshape(c.shape).astype(np.int64)
+            size = int(local.max()) + 1
+            code = (local[:, i] * size + local[:, j]) * size + local[:, k]
+            code += np.arange(len(part))[:, None] * size**3
+            _, which = np.unique(code, return_inverse=True)
+            sums = np.bincount(which.ravel(), np.broadcast_to(value, code.shape).ravel())
+            owner = np.empty(len(sums), np.int64)
+            owner[which.ravel()] = np.repeat(np.arange(len(part)), len(i))
+            out[part] = np.bincount(owner, sums**2, len(part))
+    return out
+
 
+class Features:
+    """The landmarks' subsequences of three characters, with their weights by landmark (normalised)."""
 
-def _own(mark: str, allowed: set[str] | None = None) -> float:
-    c = np.array(list(mark))
-    ok = np.array([allowed is None or x in allowed for x in mark])
-    return float(_weights(((c[:, None] == c[None, :]) & ok[:, None] & ok[None, :]).reshape(1, -1), len(c), len(c))[0])
+    def __init__(self, marks: list[str]) -> None:
+        letters = sorted(set("".join(marks)))
+        self.letters = np.array([ord(x) for x in letters], np.uint32)
+        self.base = len(letters) + 1
+        index: dict[int, int] = {}
+        cells = []
+        for col, (m, own) in enumerate(zip(marks, _own(marks))):
+            for i, j, k, v in zip(*_places(len(m))):
+                code = 0
+                for x in (m[i], m[j], m[k]):
+                    code = code * self.base + letters.index(x) + 1
+                cells.append((index.setdefault(code, len(index) + 1), col, v / np.sqrt(own)))
+        self.at = np.zeros(self.base**3, np.int16 if len(index) < 32000 else np.int32)
+        self.at[list(index)] = list(index.values())
+        self.table = np.zeros((len(index) + 1, len(marks)), np.float32)
+        for row, col, v in cells:
+            self.table[row, col] += v
+
+    def raw(self, codes: np.ndarray, near: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of words of one length that may have a kernel of ``least`` to one of the first ``near``
+        landmarks (all rows for 0), and their kernel values, normalised by the landmarks alone."""
+        n = codes.shape[1]
+        local = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        one = np.where(self.letters[local] == codes, local + 1, 0).astype(np.int32)
+        two = one * np.int32(self.base)
+        three = two * np.int32(self.base)
+        rows, features, values = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
+        for first in range(1, min(SPAN - 1, n - 1)):
+            begun = three[:, : n - first] + two[:, first:]
+            for both in range(first + 1, min(SPAN, n)):
+                f = self.at.take(begun[:, : n - both] + one[:, both:]).ravel()
+                hit = np.flatnonzero(f)
+                rows.append(hit // (n - both))
+                features.append(f[hit])
+                values.append(np.full(len(hit), DECAY ** (both + 1), np.float32))
+        row, feature, value = map(np.concatenate, (rows, features, values))
+        kept = np.arange(len(codes))
+        if near:
+            most = self.table[:, :near].max(axis=1)
+            kept = np.flatnonzero(np.bincount(row, value * most[feature], len(codes)) >= least * 0.9999)
+            place = np.full(len(codes), -1)
+            place[kept] = np.arange(len(kept))
+            row = place[row]
+            row, feature, value = row[row >= 0], feature[row >= 0], value[row >= 0]
+        out = np.zeros((len(kept), self.table.shape[1]), np.float32)
+        if len(row):
+            order = np.argsort(row, kind="stable")
+            row = row[order]
+            held = self.table[feature[order]] * value[order][:, None]
+            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            out[row[first]] = np.add.reduceat(held, first, axis=0)
+        return kept, out
+
+    def kernel(self, words: list[str], near: int = 0, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the words with a kernel of at least ``least`` to one of the first ``near`` landmarks
+        (all words for 0), and their normalised kernel values. No word's kernel with itself is below the
+        sum of its squared discounts, which rules out most words before that kernel is computed."""
+        rows, values = [np.empty(0, np.int64)], [np.empty((0, self.table.shape[1]), np.float32)]
+        for n, at in _by_length(words).items():
+            value = _places(n)[3]
+            floor = np.sqrt((value.astype(float) ** 2).sum())
+            for part in np.array_split(at, max(1, len(at) * n // 100_000)):
+                kept, raw = self.raw(_codes([words[x] for x in part]), near, least * floor)
+                part = part[kept]
+                if near:
+                    may = raw[:, :near].max(axis=1, initial=0) >= least * floor * 0.9999
+                    part, raw = part[may], raw[may]
+                if not len(part):
+                    continue
+                full = raw / np.sqrt(_own([words[x] for x in part]))[:, None].astype(np.float32)
+                if near:
+                    ok = full[:, :near].max(axis=1) >= least
+                    part, full = part[ok], full[ok]
+                rows.append(part)
+                values.append(full)
+        return np.concatenate(rows), np.concatenate(values)
 
 
 def kernel(words: list[str], marks: list[str]) -> np.ndarray:
     """Normalised kernel values, words x landmarks, in 0..1."""
     out = np.zeros((len(words), len(marks)), np.float32)
-    by: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by.setdefault(len(w), []).append(i)
-    own = np.sqrt([max(_own(m), 1e-12) for m in marks])
-    for n, at in by.items():
-        if n < 3:
-            continue
-        for i in range(0, len(at), 2048):
-            part = at[i : i + 2048]
-            codes = _codes([words[j] for j in part])
-            mine = np.sqrt(np.maximum(self_kernel(codes), 1e-12))
-            for j, m in enumerate(marks):
-                c = np.array([ord(x) for x in m], np.uint32)
-                out[part, j] = _weights((codes[:, :, None] == c).reshape(len(part), -1), n, len(c)) / mine / own[j]
+    rows, values = Features(marks).kernel(words)
+    out[rows] = values
     return out
 
 
@@ -115,51 +199,13 @@ class Model:
         self.toxic, self.marks = toxic, toxic + clean
         self.beta, self.bias = np.zeros(len(self.marks), np.float32), FLOOR
         self.slope, self.middle = 1.0, 0.0
-        letters = sorted(set("".join(toxic)))
-        if len(letters) > 62:  # rarer letters only loosen the bound
-            letters = sorted(x for x, _ in Counter("".join(toxic)).most_common(62))
-        self.letters = np.array([ord(x) for x in letters], np.uint32)
-        self.tables = []
-        for m in toxic:
-            mine = sorted(set(m))
-            counted = [x for x in mine if x in letters][:10]
-            free = set(mine) - set(counted)
-            whole = _own(m)
-            table = [np.sqrt(_own(m, free | {x for k, x in enumerate(counted) if s >> k & 1}) / whole) for s in range(1 << len(counted))]
-            self.tables.append(([letters.index(x) for x in counted], np.array(table, np.float32)))
-
-    def may_be_near(self, words: list[str]) -> np.ndarray:
-        """False only where no toxic landmark can have a kernel of ``NEAR``."""
-        ok = np.zeros(len(words), bool)
-        by: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by.setdefault(len(w), []).append(i)
-        for n, at in by.items():
-            if n < 3:
-                continue
-            at = np.array(at)
-            codes = _codes([words[j] for j in at])
-            k = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
-            bits = np.where(self.letters[k] == codes, np.int64(1) << k, 0)
-            held = np.bitwise_or.reduce(bits, axis=1)
-            near = np.zeros(len(at), bool)
-            for where, table in self.tables:
-                s = np.zeros(len(at), np.int64)
-                for j, w in enumerate(where):
-                    s |= ((held >> w) & 1) << j
-                near |= table[s] >= NEAR * 0.999
-            ok[at] = near
-        return ok
+        self.features = Features(self.marks) if toxic else None
 
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), FLOOR, np.float32)
-        if not self.toxic:
-            return out
-        at = np.flatnonzero(self.may_be_near(words))
-        if len(at):
-            k = kernel([words[i] for i in at], self.marks)
-            f = np.maximum(k @ self.beta + self.bias, FLOOR)
-            out[at] = np.where(k[:, : len(self.toxic)].max(axis=1) >= NEAR, f, FLOOR)
+        if self.toxic:
+            rows, k = self.features.kernel(words, len(self.toxic), NEAR)
+            out[rows] = np.maximum(k @ self.beta + self.bias, FLOOR)
         return out
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
@@ -181,6 +227,20 @@ def _spread(words: list[str], weight: np.ndarray, most: int) -> list[str]:
     return chosen
 
 
+def _apart(bags: list[set[str]], labels: list[int]) -> tuple[list[set[str]], list[int]]:
+    """One text of each group of near copies (words alike by 0.8, found by bands of four least hashes),
+    so that a much-copied text counts as the one witness that it is."""
+    seen: dict[tuple, int] = {}
+    kept = []
+    for i, b in enumerate(bags):
+        words = [w.encode() for w in b]
+        bands = [(band, *(min((zlib.crc32(w, 4 * band + s) for w in words), default=None) for s in range(4))) for band in range(4)]
+        if not any(len(b & bags[j]) >= 0.8 * len(b | bags[j]) for j in {seen[x] for x in bands if x in seen}):
+            kept.append(i)
+            seen.update((x, i) for x in bands)
+    return [bags[i] for i in kept], [labels[i] for i in kept]
+
+
 def _variants(word: str, rng: np.random.Generator) -> list[str]:
     """The word with a character inserted, dropped, doubled or replaced."""
     out = []
@@ -196,7 +256,7 @@ def _grams(word: str) -> set[str]:
     return {w[i : i + n] for n in (4, 5, 6) for i in range(len(w) - n + 1)}
 
 
-def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
+def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by Newton steps over the active rows."""
     x = np.hstack([z, np.ones((len(z), 1))])
     w = np.zeros(x.shape[1])
@@ -216,7 +276,7 @@ def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """Learn from labelled texts (1: toxic)."""
     rng = np.random.default_rng(seed)
-    bags = [units(t) for t in texts]
+    bags, labels = _apart([units(t) for t in texts], labels)
     toxic, clean = [b for b, y in zip(bags, labels) if y], [b for b, y in zip(bags, labels) if not y]
     if not toxic or not clean:
         return Model([], [])
@@ -227,26 +287,29 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         for w, n in df.items():
             for g in _grams(w):
                 of[g] += n
-    odds = lambda g: np.log((of_t[g] + 0.5) / len(toxic)) - np.log((of_c[g] + 0.5) / len(clean))
-    strength = {w: max((odds(g) for g in _grams(w) if of_t[g] >= 3), default=-9.0) for w in df_t if df_c[w] * len(toxic) < 0.05 * df_t[w] * len(clean)}
+    share = np.log10((len(toxic) + len(clean)) / len(toxic))
+
+    def strong(g: str) -> float:
+        """Log odds of a character run, if chance would hardly put it into toxic texts alone."""
+        t, c = of_t[g], of_c[g]
+        odds = np.log((t + 0.5) / len(toxic)) - np.log((c + 0.5) / len(clean))
+        return odds if odds > 3 and t * share - c * 3 >= EVIDENCE else -9.0
+
+    strength = {w: max(map(strong, _grams(w)), default=-9.0) for w in df_t if df_c[w] * len(toxic) < 0.05 * df_t[w] * len(clean)}
     witness: Counter = Counter()
     for b in toxic:
-        best = max(sorted(b), key=lambda w: strength.get(w, -9.0), default=None)
-        if best is not None and strength.get(best, -9) > 1.5:
-            witness[best] += 1
         for w in b:
-            if w != best and strength.get(w, -9) > 3.5:
+            if strength.get(w, -9.0) > 0:
                 witness[w] += 1
     if not witness:
         return Model([], [])
     found = sorted(witness, key=lambda w: (-witness[w], w))[:3000]
     short = [w for w in found if len(w) <= LONGEST]
     marks = _spread(short, np.log1p([witness[w] for w in short]), TOXIC_LANDMARKS)
-    model = Model(marks, [])
     others = sorted(df_c)
-    others = [others[i] for i in np.flatnonzero(model.may_be_near(others))]
-    near = kernel(others, marks).max(axis=1, initial=0) if others else np.zeros(0)
-    hard = [others[i] for i in np.argsort(-near, kind="stable") if near[i] >= NEAR][:6000]
+    at, near = Features(marks).kernel(others, len(marks), NEAR)
+    near = near.max(axis=1, initial=0)
+    hard = [others[at[i]] for i in np.lexsort((at, -near))][:6000]
     made = sorted({v for w in found[:400] for v in _variants(w, rng)} - set(df_c))
     model = Model(marks, _spread([w for w in hard[:400] if len(w) <= LONGEST], np.ones(min(400, sum(len(w) <= LONGEST for w in hard[:400]))), CLEAN_LANDMARKS))
     rows = found + made + hard
@@ -254,7 +317,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     weight = np.array([1.0 + np.log(witness[w]) for w in found] + [0.3] * len(made) + [1.0] * len(hard))
     k = kernel(rows, model.marks).astype(float)
     values, vectors = np.linalg.eigh(kernel(model.marks, model.marks).astype(float))
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
     w, bias = _machine(k @ root, y, weight)
     model.beta, model.bias = (root @ w).astype(np.float32), bias
     known = sorted(set(df_t) | set(df_c))
@@ -312,16 +375,16 @@ def score_texts(texts: list[str | None], model: Model) -> np.ndarray:
         _known.clear()
         _known[key] = {}
     cache = _known[key]
-    top = np.full(len(bags), FLOOR)
-    for i, bag in enumerate(bags):
-        fresh = [w for w in bag if w not in cache]
-        if len(fresh) + len(cache) > _CACHE:
-            cache.clear()
-            fresh = list(bag)
-        for j in range(0, len(fresh), 20_000):
-            part = fresh[j : j + 20_000]
-            cache.update(zip(part, model.margins(part).tolist()))
-        top[i] = max(map(cache.__getitem__, bag), default=FLOOR)
+    words = set().union(*bags)
+    fresh = words.difference(cache)
+    if len(fresh) + len(cache) > _CACHE:
+        cache.clear()
+        fresh = words
+    fresh = list(fresh)
+    for j in range(0, len(fresh), 50_000):
+        part = fresh[j : j + 50_000]
+        cache.update(zip(part, model.margins(part).tolist()))
+    top = np.array([max(map(cache.__getitem__, b), default=FLOOR) for b in bags])
     return model.probability(top)
 
 
