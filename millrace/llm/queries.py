@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, packing, simhash, toxicity, warc, winnowing
+from . import licences, media, mixing, packing, sharding, simhash, toxicity, warc, winnowing
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -20,6 +21,20 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def licence_rows(docs: DataFrame) -> DataFrame:
+    files = docs.select("doc_id", licences.document_path(F.col("doc_id"), F.col("source")).alias("path"), "text")
+    return licences.scan(files).select("doc_id", "path", "licence", "licence_score", "found_in", "inherited")
+
+
+def op2_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_rows(_table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = mixing.mix(_table(spark, sf_dir, "documents"), keep_marks=True)
+    return marked.select("doc_id", "tokens", "cell_source", "cell_lang", "cell_topic", "probability", "sampled")
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_likeness(_table(spark, sf_dir, "documents"))
 
@@ -37,14 +52,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.place(_table(spark, sf_dir, "documents"))
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return placed.select("doc_id", sharding.slot(F.col("doc_id")).alias("slot"), "shard", size.alias("n_bytes"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_simhash_near_dedup, op4_winnowing, op5_warc_round_trip, op6_media_columns, op7_toxicity, op10_best_fit_packing)
+    made = (op1_simhash_near_dedup, op2_licence_scans, op3_mixing, op4_winnowing, op5_warc_round_trip, op6_media_columns, op7_toxicity, op8_sharding, op10_best_fit_packing)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_licence_scans": licences.sql(), "op3_mixing": mixing.sql(), "op8_sharding": sharding.sql()}
