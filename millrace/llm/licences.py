@@ -36,6 +36,10 @@ TEMPLATES = {
 }
 
 
+#: Short words too frequent to serve as anchors, unless there is no other.
+_SMALL = {"by", "to", "of", "or", "in", "is", "be", "as", "at", "an", "v", "a"}
+
+
 def split_words(text: str) -> list[str]:
     return [w for w in re.sub(r"[^a-z0-9]+", " ", text.lower()).split(" ") if w]
 
@@ -57,7 +61,7 @@ class Templates:
             self.vectors.append((name, {w: x * self.idf[w] for w, x in v.items()}))
             left = 1.0
             # Long words first: they are rare and found by plain search, the shortest only between word ends.
-            for w, x in sorted(v.items(), key=lambda p: (len(p[0]) < 3, -len(p[0]), p[0])):
+            for w, x in sorted(v.items(), key=lambda p: (len(p[0]) < 3, p[0] in _SMALL, -len(p[0]), p[0])):
                 if left < threshold**2 * 0.999:
                     break
                 self.anchors.add(w)

@@ -21,12 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OTHER, SWEEPS, BUCKETS = "other", 30, 1 << 40
+#: Share of all tokens that the sample is expected to keep.
+KEEP = 0.8
 
 #: Production targets: shares of tokens by marginal; what is left of 1 goes to ``other``.
 SOURCES = {"src0": 0.30} | {f"src{i}": 0.035 for i in range(1, 20)}
 LANGS = {"en": 0.62, "de": 0.14, "fr": 0.13, "es": 0.10}
 TOPICS = {"prose": 0.90, "table": 0.04, "licensed": 0.04}
-#: Expected tokens kept, as a share of all that exact proportions would allow at most.
 TARGETS = {"source": SOURCES, "lang": LANGS, "topic": TOPICS}
 
 
@@ -60,8 +61,22 @@ def rake(cells: np.ndarray, marginals: list[np.ndarray], sweeps: int = SWEEPS) -
     return scale
 
 
-def calibrated(tokens: dict[tuple[str, ...], int], targets: dict[str, dict[str, float]]) -> dict[tuple[str, ...], float]:
-    """Each cell's probability: in proportion to its raked factor, 1 for the largest."""
+def level(cells: np.ndarray, scale: np.ndarray, keep: float) -> float:
+    """The multiple of the factors at which ``keep`` of all tokens is expected to stay, no probability
+    being above 1: cells wanted in more than they hold are kept whole."""
+    n, f = cells.ravel(), scale.ravel()
+    held = (n > 0) & (f > 0)
+    order = np.argsort(-f[held], kind="stable")
+    n_, f_ = n[held][order], f[held][order]
+    before = np.concatenate(([0.0], np.cumsum(n_)[:-1]))
+    rest = np.cumsum((n_ * f_)[::-1])[::-1]
+    multiple = (keep * n.sum() - before) / rest
+    fits = np.flatnonzero(multiple * f_ <= 1)
+    return float(multiple[fits[0]]) if len(fits) else float(1 / f_[-1])
+
+
+def calibrated(tokens: dict[tuple[str, ...], int], targets: dict[str, dict[str, float]], keep: float = KEEP) -> dict[tuple[str, ...], float]:
+    """Each cell's probability: its raked factor times the level, at most 1."""
     axes = [[*t, OTHER] for t in targets.values()]
     cells = np.zeros([len(a) for a in axes])
     for key, n in tokens.items():
@@ -70,8 +85,8 @@ def calibrated(tokens: dict[tuple[str, ...], int], targets: dict[str, dict[str,
     if not cells.any():
         return {}
     scale = rake(cells, marginals)
-    top = scale[cells > 0].max()
-    return {key: round(float(scale[i] / top), 9) for key, i in zip(itertools.product(*axes), itertools.product(*(range(len(a)) for a in axes))) if cells[i] > 0}
+    multiple = level(cells, scale, keep)
+    return {key: round(min(1.0, float(scale[i] * multiple)), 9) for key, i in zip(itertools.product(*axes), itertools.product(*(range(len(a)) for a in axes))) if cells[i] > 0}
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep_marks: bool = False) -> DataFrame:
@@ -120,7 +135,11 @@ def sql(table: str = "documents", targets: dict[str, dict[str, float]] | None =
       (SELECT a.k, a.now, w.w, sum(w.w) OVER () AS ws, sum(a.now) OVER () AS total FROM (SELECT k{i} AS k, sum(n * f) AS now FROM {last} GROUP BY 1) a JOIN want{i} w ON a.k = w.k WHERE a.now > 0) m ON c.k{i} = m.k)"""
             )
             last = name
-    parts.append(f"chance AS (SELECT k0, k1, k2, round(f / max(f) OVER (), 9) AS p FROM {last})")
+    parts.append(
+        f"""levels AS (SELECT f, (({KEEP!r} * sum(n) OVER () - coalesce(sum(n) OVER (ORDER BY f DESC, k0, k1, k2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(CASE WHEN f > 0 THEN n * f END) OVER (ORDER BY f DESC, k0, k1, k2 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS m FROM {last})"""
+    )
+    parts.append("level AS (SELECT coalesce((SELECT max_by(m, f) FROM levels WHERE f > 0 AND m * f <= 1), (SELECT 1 / min(f) FROM levels WHERE f > 0)) AS m)")
+    parts.append(f"chance AS (SELECT k0, k1, k2, round(least(1.0, f * m), 9) AS p FROM {last}, level)")
     parts.append(
         """decided AS (SELECT m.*, coalesce(c.p, 1.0) AS p, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 10))::BIGINT < round(coalesce(c.p, 1.0) * 1099511627776)::BIGINT AS sampled FROM marked m LEFT JOIN chance c USING (k0, k1, k2))"""
     )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, media, mixing, packing, sharding, simhash, toxicity, warc, winnowing
+from . import htmlcrf, licences, media, mixing, packing, sharding, simhash, toxicity, warc, winnowing
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -58,12 +58,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", sharding.slot(F.col("doc_id")).alias("slot"), "shard", size.alias("n_bytes"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlcrf.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_simhash_near_dedup, op2_licence_scans, op3_mixing, op4_winnowing, op5_warc_round_trip, op6_media_columns, op7_toxicity, op8_sharding, op10_best_fit_packing)
+    made = (op1_simhash_near_dedup, op2_licence_scans, op3_mixing, op4_winnowing, op5_warc_round_trip, op6_media_columns, op7_toxicity, op8_sharding, op9_html_extraction, op10_best_fit_packing)
     return {f.__name__: f for f in made}
 
 

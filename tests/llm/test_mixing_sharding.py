@@ -32,6 +32,17 @@ def test_rake_meets_its_marginals():
         assert np.allclose(got / out.sum(), w, atol=1e-6)
 
 
+def test_levels():
+    cells, scale = np.array([10.0, 10, 80, 0]), np.array([5.0, 2, 1, 9])
+    m = mixing.level(cells, scale, 0.8)
+    p = np.minimum(1, m * scale)
+    assert np.isclose((p * cells).sum(), 80) and p[0] == 1 and p[1] == 1
+    assert np.isclose((np.minimum(1, mixing.level(cells, scale, 0.1) * scale) * cells).sum(), 10)
+    assert (np.minimum(1, mixing.level(cells, scale, 1.0) * scale)[:3] == 1).all()
+    even = mixing.calibrated({("src0", "en", "prose"): 5}, mixing.TARGETS)
+    assert even == {("src0", "en", "prose"): 0.8} and mixing.calibrated({}, mixing.TARGETS) == {}
+
+
 def test_mix_matches_sql_and_reaches_its_targets(spark):
     data = rows()
     df = spark.createDataFrame(data, SCHEMA).drop("tokens")
@@ -42,8 +53,8 @@ def test_mix_matches_sql_and_reaches_its_targets(spark):
     expected = {}
     for r in marked:
         expected[r.cell_lang] = expected.get(r.cell_lang, 0) + r.tokens * r.probability
-    total = sum(expected.values())
-    assert all(abs(expected[k] / total - v) < 0.02 for k, v in mixing.LANGS.items())
+    held = sum(r.tokens for r in marked)
+    assert abs(sum(expected.values()) / held - mixing.KEEP) < 0.01
     assert mixing.mix(df.limit(0)).collect() == []
 
 
