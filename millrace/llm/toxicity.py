@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 
-SAMPLE, SAMPLE_BYTES = 3000, 24_000
+SAMPLE, SAMPLE_BYTES = 2400, 24_000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, LONGEST = 40, 24, 14
 DECAY, SPAN, NEAR, FLOOR, REJECT = 0.7, 7, 0.45, -1.0, 0.7
 #: Decimal orders by which chance must fail to explain a character run of the toxic texts.
@@ -227,15 +227,21 @@ def _spread(words: list[str], weight: np.ndarray, most: int) -> list[str]:
     return chosen
 
 
-def _apart(bags: list[set[str]], labels: list[int]) -> tuple[list[set[str]], list[int]]:
+def _apart(bags: list[np.ndarray], labels: list[int], words: list[str]) -> tuple[list[np.ndarray], list[int]]:
     """One text of each group of near copies (words alike by 0.8, found by bands of four least hashes),
-    so that a much-copied text counts as the one witness that it is."""
+    so that a much-copied text counts as the one witness that it is. Bags are sorted word numbers."""
+    raw = [w.encode() for w in words]
+    hashes = np.array([[zlib.crc32(w, s) for w in raw] for s in range(16)], np.uint32) if raw else np.zeros((16, 0), np.uint32)
     seen: dict[tuple, int] = {}
     kept = []
     for i, b in enumerate(bags):
-        words = [w.encode() for w in b]
-        bands = [(band, *(min((zlib.crc32(w, 4 * band + s) for w in words), default=None) for s in range(4))) for band in range(4)]
-        if not any(len(b & bags[j]) >= 0.8 * len(b | bags[j]) for j in {seen[x] for x in bands if x in seen}):
+        least = hashes[:, b].min(axis=1).tolist() if len(b) else [None] * 16
+        bands = [(k, *least[4 * k : 4 * k + 4]) for k in range(4)]
+        for j in {seen[x] for x in bands if x in seen}:
+            both = len(np.intersect1d(b, bags[j], assume_unique=True))
+            if both >= 0.8 * (len(b) + len(bags[j]) - both):
+                break
+        else:
             kept.append(i)
             seen.update((x, i) for x in bands)
     return [bags[i] for i in kept], [labels[i] for i in kept]
@@ -276,31 +282,46 @@ def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RI
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """Learn from labelled texts (1: toxic)."""
     rng = np.random.default_rng(seed)
-    bags, labels = _apart([units(t) for t in texts], labels)
-    toxic, clean = [b for b, y in zip(bags, labels) if y], [b for b, y in zip(bags, labels) if not y]
+    number: dict[str, int] = {}
+    bags = [np.array(sorted(number.setdefault(w, len(number)) for w in sorted(units(t))), np.int32) for t in texts]
+    words = list(number)
+    del number
+    bags, labels = _apart(bags, labels, words)
+    marks = np.array(labels) == 1
+    toxic, clean = [b for b, y in zip(bags, marks) if y], [b for b, y in zip(bags, marks) if not y]
     if not toxic or not clean:
         return Model([], [])
-    df_t, df_c = Counter(w for b in toxic for w in sorted(b)), Counter(w for b in clean for w in sorted(b))
+    in_toxic, in_clean = (np.bincount(np.concatenate(part), minlength=len(words)) for part in (toxic, clean))
+    share = np.log10((len(toxic) + len(clean)) / len(toxic))
+    need = max(3, int(EVIDENCE / share))
+    # Runs are counted in two passes, the first by hash alone: only those that may be frequent get entries.
+    rough = np.zeros(1 << 22, np.int64)
+    for i in np.flatnonzero(in_toxic):
+        for g in _grams(words[i]):
+            rough[hash(g) & 0x3FFFFF] += in_toxic[i]
     of_t: Counter = Counter()
+    for i in np.flatnonzero(in_toxic):
+        for g in _grams(words[i]):
+            if rough[hash(g) & 0x3FFFFF] >= need:
+                of_t[g] += int(in_toxic[i])
+    of_t = Counter({g: n for g, n in of_t.items() if n >= need})
+    del rough
     of_c: Counter = Counter()
-    for df, of in ((df_t, of_t), (df_c, of_c)):
-        for w, n in df.items():
-            for g in _grams(w):
-                of[g] += n
-    share = np.log10((len(toxic) + len(clean)) / len(toxic))
+    for i in np.flatnonzero(in_clean):
+        for g in _grams(words[i]):
+            if g in of_t:
+                of_c[g] += int(in_clean[i])
+    df_t = {words[i]: int(in_toxic[i]) for i in np.flatnonzero(in_toxic)}
+    df_c = {words[i]: int(in_clean[i]) for i in np.flatnonzero(in_clean)}
 
     def strong(g: str) -> float:
         """Log odds of a character run, if chance would hardly put it into toxic texts alone."""
-        t, c = of_t[g], of_c[g]
+        t, c = of_t.get(g, 0), of_c.get(g, 0)
         odds = np.log((t + 0.5) / len(toxic)) - np.log((c + 0.5) / len(clean))
         return odds if odds > 3 and t * share - c * 3 >= EVIDENCE else -9.0
 
-    strength = {w: max(map(strong, _grams(w)), default=-9.0) for w in df_t if df_c[w] * len(toxic) < 0.05 * df_t[w] * len(clean)}
-    witness: Counter = Counter()
-    for b in toxic:
-        for w in b:
-            if strength.get(w, -9.0) > 0:
-                witness[w] += 1
+    strength = {w: max((strong(g) for g in _grams(w) if g in of_t), default=-9.0) for w in df_t if df_c.get(w, 0) * len(toxic) < 0.05 * df_t[w] * len(clean)}
+    witness = Counter({w: df_t[w] for w, x in strength.items() if x > 0})
     if not witness:
         return Model([], [])
     found = sorted(witness, key=lambda w: (-witness[w], w))[:3000]
@@ -320,9 +341,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
     w, bias = _machine(k @ root, y, weight)
     model.beta, model.bias = (root @ w).astype(np.float32), bias
-    known = sorted(set(df_t) | set(df_c))
-    score = dict(zip(known, model.margins(known)))
-    top = np.array([max((score[w] for w in b), default=FLOOR) for b in bags], float)
+    score = np.concatenate([model.margins(words[i : i + 50_000]) for i in range(0, len(words), 50_000)])
+    top = np.array([score[b].max(initial=FLOOR) for b in bags], float)
     model.slope, model.middle = _platt(top, np.array(labels, float))
     return model
 
