@@ -39,8 +39,8 @@ def align(a: list[tuple[int, str]], b: list[tuple[int, str]], insertions: bool =
                 out.append(("keep" if a[x][1] == b[y][1] else "merge", [a[x][0]], [b[y][0]], html, why))
             continue
         if op == "replace":
-            ratio = SequenceMatcher(None, " ".join(ka[i:j]), " ".join(kb[k:m]), autojunk=False).ratio()
-            if ratio >= least or (j - i == m - k == 1):
+            alike = j - i == m - k == 1 or SequenceMatcher(None, " ".join(ka[i:j]), " ".join(kb[k:m]), autojunk=False).ratio() >= least
+            if alike:
                 if j - i == m - k == 1:
                     html, why = _richer(a[i][1], b[k][1])
                 else:
@@ -56,16 +56,16 @@ def align(a: list[tuple[int, str]], b: list[tuple[int, str]], insertions: bool =
 
 
 def merge_operations(a: DataFrame, b: DataFrame, insertions: bool = True, least: float = 0.6) -> DataFrame:
-    """The operations for every document of either side; a document is one group of each."""
+    """The operations for every document of either side; the elements of both sides of one document are a group."""
+    sided = lambda d, side: d.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(side).alias("side"), F.col("pos").cast("int").alias("pos"), F.coalesce("html", F.lit("")).alias("html"))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        doc = int((left if len(left) else right).doc_id.iloc[0])
-        sides = [sorted((int(p), h) for p, h in zip(s.pos, s.html)) if len(s) else [] for s in (left, right)]
-        rows = [(doc, n, *o) for n, o in enumerate(align(*sides, insertions, least))]
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["side", "pos", "html"])
+        sides = [[(int(p), h) for p, h in zip(g.pos, g.html)] for g in (group[group.side == k] for k in (0, 1))]
+        rows = [(int(group.doc_id.iloc[0]), n, *o) for n, o in enumerate(align(*sides, insertions, least))]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in OPS.split(", ")])
 
-    cut = lambda d: d.select(F.col("doc_id").cast("long").alias("doc_id"), "pos", "html").groupBy("doc_id")
-    return cut(a).cogroup(cut(b)).applyInPandas(run, OPS)
+    return sided(a, 0).unionByName(sided(b, 1)).groupBy("doc_id").applyInPandas(run, OPS)
 
 
 def apply_operations(ops: DataFrame) -> DataFrame:

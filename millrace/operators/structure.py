@@ -93,12 +93,13 @@ def footnote_candidates(elements: DataFrame, footnotes: DataFrame, context: int
     """Occurrences of each footnote's number in its document's other elements on the same page, outside
     tags; digits may be spaced, and no digit may follow. Joined on document and page."""
     both = elements.where("element_type <> 'footnote'").alias("e").join(footnotes.alias("f"), (F.col("e.doc_id") == F.col("f.doc_id")) & F.col("e.page").eqNullSafe(F.col("f.page")))
-    pattern = F.concat(F.regexp_replace(F.col("f.number").cast("string"), r"(\d)(?=\d)", r"$1\\\\s*"), F.lit(r"(?!\d)"))
-    pieces = F.split(F.regexp_replace(F.col("e.text"), pattern, "\x01"), "\x01")
-    at = F.posexplode(F.when(F.size(pieces) > 1, F.slice(pieces, F.lit(1), F.size(pieces) - 1)))
-    rows = both.select(F.col("f.doc_id"), F.col("f.number"), F.col("e.pos").alias("element_pos"), pieces.alias("pieces"), at.alias("nth", "piece"))
-    before = F.array_join(F.slice("pieces", F.lit(1), F.col("nth") + 1), F.col("number").cast("string"))
-    after = F.array_join(F.slice("pieces", F.col("nth") + 2, F.size("pieces")), F.col("number").cast("string"))
+    pattern = F.concat(F.array_join(F.filter(F.split(F.col("f.number").cast("string"), ""), lambda c: c != ""), r"\s*"), F.lit(r"(?!\d)"))
+    pieces = F.split(F.regexp_replace(F.col("e.text"), pattern, F.lit("\x01")), "\x01")
+    marks = F.regexp_extract_all(F.col("e.text"), pattern, F.lit(0))
+    rows = both.select(F.col("f.doc_id"), F.col("f.number"), F.col("e.pos").alias("element_pos"), F.col("e.text").alias("text"), pieces.alias("pieces"), marks.alias("marks"), F.posexplode(marks).alias("nth", "mark"))
+    shown = F.transform(F.slice("pieces", F.lit(1), F.col("nth") + F.lit(1)), lambda p, i: F.concat(p, F.when(i < F.col("nth"), F.get(F.col("marks"), i)).otherwise("")))
+    before = F.array_join(shown, "")
+    after = F.substring("text", F.length(before) + F.length("mark") + F.lit(1), F.length("text"))
     return rows.select("doc_id", "number", "element_pos", "nth", F.length(before).alias("start"), F.substring(before, F.greatest(F.length(before) - context + 1, F.lit(1)), F.lit(context)).alias("before"), F.substring(after, 1, context).alias("after"))
 
 

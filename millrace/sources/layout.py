@@ -44,15 +44,16 @@ def layout_elements(docs: DataFrame, doc: str = "doc_id", body: str = "json") ->
     note = F.regexp_extract(text, r"^(\d+)\s*(.+)$", 1)
     table = F.get(F.filter(F.flatten(F.transform(_all_lines(b), lambda ln: ln["spans"])), lambda s: s["html"].isNotNull()), F.lit(0))["html"]
     items = F.array_join(F.transform(_all_lines(b), lambda ln: tagged("li", escape(F.array_join(F.transform(ln["spans"], lambda s: F.coalesce(s["content"], F.lit(""))), " ")))), "")
+    made_of = lambda t, h: F.struct(F.lit(t).alias("t"), h.alias("h"))
     element = (
-        F.when(F.col("gone") & (note != ""), F.struct(F.lit("footnote").alias("t"), tagged("aside", escape(F.regexp_extract(text, r"^(\d+)\s*(.+)$", 2))).alias("h")))
-        .when(F.col("gone"), F.struct(F.lit("raw_text"), tagged("div", escape(text))))
-        .when(kind == "title", F.struct(F.lit("heading"), tagged("h1", escape(text))))
-        .when(kind == "table", F.struct(F.lit("table"), table))
-        .when(kind == "list", F.struct(F.lit("list"), tagged("ul", items)))
-        .when(kind == "code", F.struct(F.lit("raw_text"), F.concat(F.lit("<div><pre><code>"), escape(_text(b, "\n")), F.lit("</code></pre></div>"))))
-        .when(kind.isin("image", "chart"), F.struct(F.lit("image"), F.lit("<img/>")))
-        .otherwise(F.struct(F.lit("paragraph"), tagged("p", escape(text))))
+        F.when(F.col("gone") & (note != ""), made_of("footnote", tagged("aside", escape(F.regexp_extract(text, r"^(\d+)\s*(.+)$", 2)))))
+        .when(F.col("gone"), made_of("raw_text", tagged("div", escape(text))))
+        .when(kind == "title", made_of("heading", tagged("h1", escape(text))))
+        .when(kind == "table", made_of("table", table))
+        .when(kind == "list", made_of("list", tagged("ul", items)))
+        .when(kind == "code", made_of("raw_text", F.concat(F.lit("<div><pre><code>"), escape(_text(b, "\n")), F.lit("</code></pre></div>"))))
+        .when(kind.isin("image", "chart"), made_of("image", F.lit("<img/>")))
+        .otherwise(made_of("paragraph", tagged("p", escape(text))))
     )
     made = rows.select("doc_id", "page", "nth", element.alias("e"), text.alias("text"), line_height(b).alias("line_height"), F.when(note != "", note.cast("int")).alias("number"), "gone")
     return made.where(F.col("e.h").isNotNull() & ((F.col("text") != "") | (F.col("e.t") != "paragraph"))).select("doc_id", "page", "nth", F.col("e.t").alias("element_type"), F.col("e.h").alias("html"), "text", "line_height", F.when(F.col("e.t") == "footnote", F.col("number")).alias("footnote"))
