@@ -220,7 +220,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col:
     places = _places(plan(counts, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = tallies.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = pieces.join(first, ["part", "length"]).withColumn("rank", F.col("first") + F.col("nth")).drop("part", "nth", "first")
+    # The offsets grow with the tasks, so they aren't to be broadcast.
+    ranked = pieces.join(first.hint("merge"), ["part", "length"]).withColumn("rank", F.col("first") + F.col("nth")).drop("part", "nth", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
