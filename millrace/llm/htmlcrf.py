@@ -16,6 +16,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,11 @@ from .common import bound_batches
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|([^<]+|<)", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"[ \t\n\r\f\v  -     　 \x85]+")
-_RAW = {"script", "style", "noscript", "template", "iframe", "svg", "object", "textarea", "title", "math", "head"}
+_RAW = {"script", "style", "noscript", "template", "iframe", "svg", "object", "textarea", "title", "math"}
 _RAW_TEXT = {"script", "style", "textarea", "title", "iframe", "noscript"}
+#: Start tags that end an unclosed svg or math, unless one of the elements that may hold HTML is open in it.
+_BREAKS = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strike strong sub sup table tt u ul var".split())
+_HOLDS = ("foreignobject", "desc", "title", "annotation-xml", "mi", "mo", "mn", "ms", "mtext")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol option optgroup p pre section select summary table tbody td tfoot th thead tr ul label".split())
 _ENDS_P = _BLOCK - {"button", "label", "option", "optgroup", "td", "th", "caption", "legend"}
@@ -60,7 +64,8 @@ def blocks(html: str | None) -> list[Block]:
     linked = 0
     link_depth = 0
     skip = ""
-    depth = 0
+    inner: list[str] = []  # elements open inside the skipped one, and how many of each
+    held: Counter = Counter()
 
     def flush() -> None:
         nonlocal linked
@@ -92,22 +97,32 @@ def blocks(html: str | None) -> list[Block]:
             continue
         tag, closing = tag.lower(), bool(m[1])
         if skip:
-            if tag == skip:
-                depth += -1 if closing else 1
-                if not depth:
-                    skip = ""
-            elif skip == "head" and not closing and tag == "body":
+            foreign = skip in ("svg", "math")
+            if closing and held[tag]:
+                while inner and (gone := inner.pop()):
+                    held[gone] -= 1
+                    if gone == tag:
+                        break
+                continue
+            if closing and tag == skip:
                 skip = ""
-            else:
                 continue
-            if not (tag == "body" and not closing):
+            if closing and any(s[0] == tag for s in stack) or not closing and foreign and tag in _BREAKS and not any(held[t] for t in _HOLDS):
+                skip = ""  # the parent ends, or HTML begins: the tag counts as one outside
+            else:
+                if not closing and tag in _RAW_TEXT and not (foreign and tag == "title"):
+                    end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, pos)
+                    pos = end.end() if end else pos if foreign else n
+                elif not closing and tag not in _VOID and not (foreign and m[3].rstrip().endswith("/")):
+                    inner.append(tag)
+                    held[tag] += 1
                 continue
         if not closing and tag in _RAW:
             if tag in _RAW_TEXT:
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, pos)
                 pos = end.end() if end else n
             elif not m[3].rstrip().endswith("/"):
-                skip, depth = tag, 1
+                skip, inner, held = tag, [], Counter()
             continue
         if tag == "a":
             link_depth = 0 if closing else 1

@@ -28,6 +28,16 @@ def test_blocks():
     assert b.tags == {"nav"} and b.classes == {"menu"} and b.links == 3
 
 
+def test_omitted_ends_swallow_nothing():
+    assert texts("<head><title>x</title><p>one<p>two") == ["one", "two"]
+    assert texts("<html><head><meta charset=a><style>p{}</style>\n<link href=b>\nbare <div>three</div>") == ["bare", "three"]
+    assert texts("<div><svg><path d=x><g></div><p>after") == texts("<div><template><p>no</div><p>after") == texts("<div><object data=x></div><p>after") == ["after"]
+    assert texts("<body><svg><text>no</text><p>yes</p>") == texts("<math><mi>x</mi><div>yes</div>") == ["yes"]
+    assert texts("<svg><foreignObject><div>no</div></foreignObject><title>no</title></svg><p>yes") == ["yes"]
+    assert texts("<div><template><script>'</div>'</script>no<div>no</div></template>yes</div>") == ["yes"]
+    assert texts("<div><object><object></object>no</object>yes</div>") == ["yes"]
+
+
 def test_gradient_and_viterbi_against_enumeration():
     rng = np.random.default_rng(0)
     m = H.Crf()
