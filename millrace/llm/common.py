@@ -60,3 +60,18 @@ def bound_batches(spark: SparkSession) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def refuse_names(rows: DataFrame, *names: str) -> None:
+    """No result may have two columns of one name: a table that brings one of the new names is refused."""
+    clash = {n.lower() for n in names} & {c.lower() for c in rows.columns}
+    if clash:
+        raise ValueError(f"the table has a column of a new column's name: {sorted(clash)}")
+
+
+def free_name(rows: DataFrame, name: str) -> str:
+    """The name, or, if the table has such a column, the name with underscores added."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

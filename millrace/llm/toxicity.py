@@ -1,19 +1,23 @@
 """Toxicity by a support vector machine over a gap-weighted subsequence kernel, with Nyström landmarks.
 
-A text's units are its words, lower-cased, without punctuation, spaced-out letters joined. The kernel
-of two words adds up their common subsequences of three characters within ``SPAN``, each discounted by the
-stretch it spans in either word, so inserted, dropped and repeated characters cost little. Training is by multiple
-instances: the labelled sentences of toxic documents hold at least one insult, those of clean ones none.
-A text is scored by its worst unit; units with a kernel below ``NEAR`` to every toxic landmark count as
-harmless, and a lower bound of a word's kernel with itself tells most of these after one table look-up
-for each of its triples.
+The kernel of two words adds up their common subsequences of three characters (word ends count as
+characters) within ``SPAN``, each discounted by the stretch it spans in either word, so inserted, dropped,
+replaced and repeated characters cost little. The kernel of two sentences adds up a power of their
+words' kernels. A sentence is a window of ``WINDOW`` words of a text; beside the words themselves it holds
+them without digits for letters or a character put between all others, and short neighbours joined, so that gaps of
+white space cost nothing. The machine is fitted on labelled texts: a text counts by its worst window, and
+within a window by the distinct words that count against it, both found anew in every round (a latent
+support vector machine). Words with a kernel below ``NEAR`` to every toxic landmark count as nothing,
+and a lower bound of a word's kernel with itself tells most of these after one table look-up a triple.
 
 The model is fitted on the driver from a bounded sample: ``SAMPLE`` labelled documents a class, the
-first by hash, of at most ``SAMPLE_BYTES`` each. Everything else works on all rows and whole texts.
+first by hash, of at most ``SAMPLE_BYTES`` each; landmarks are chosen among ``WITNESSES`` words of toxic
+texts and ``RIVALS`` of clean ones. Everything else works on all rows and whole texts.
 
 Cases with a defined result: null and empty texts are scored as texts without units; labels that are
 null, or of unknown documents, are ignored; if one class has no labelled row, every score is 0; repeated
-rows are scored alike; an empty table gives an empty result; further columns pass through untouched.
+rows are scored alike; an empty table gives an empty result; further columns pass through untouched, whatever their
+names, but a column that has the name of the score is refused.
 """
 
 from __future__ import annotations
@@ -29,33 +33,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, drop_path, refuse_names, write_table
 
-SAMPLE, SAMPLE_BYTES = 2400, 24_000
-TOXIC_LANDMARKS, CLEAN_LANDMARKS, LONGEST = 40, 24, 14
-DECAY, SPAN, NEAR, FLOOR, REJECT = 0.7, 7, 0.45, -1.0, 0.7
+SAMPLE, SAMPLE_BYTES = 3000, 24_000
+TOXIC_LANDMARKS, CLEAN_LANDMARKS, LONGEST = 48, 32, 14
+WITNESSES, RIVALS = 3000, 6000
+DECAY, SPAN, NEAR, REJECT = 0.7, 7, 0.42, 0.7
+#: Words in a window, and the power of the words' kernels that a sentence's adds up.
+WINDOW, POWER = 128, 1.5
 #: Decimal orders by which chance must fail to explain a character run of the toxic texts.
 EVIDENCE = 7.0
-RIDGE = 0.1
-_UNIT, _CACHE = 28, 500_000
+RIDGE, ROUNDS = 0.3, 8
+#: Weight of a made sentence against a labelled one.
+DISGUISED = 0.3
+#: Parts of the clean and of the toxic sample that may lie on the wrong side of the tails' bounds.
+CLEAN_TAIL, TOXIC_TAIL = 0.01, 0.05
+#: A landmark with no clean word above this kernel tells by itself.
+ALIKE = 0.8
+_UNIT, _CACHE, _TEXTS = 28, 300_000, 200
 _PUNCTUATION = re.compile(r"[^\w\s]+|_+")
 _LEET = str.maketrans("013457", "oieast")
 _SPACED = re.compile(r"(?<!\S)\w(?:\s+\w)+(?!\S)")
 
 
-def units(text: str | None) -> set[str]:
-    """The distinct words of a text, of 3 to ``_UNIT`` characters; longer ones as overlapping pieces."""
+def word_list(text: str | None) -> list[str]:
+    """The words in order, lower-cased, without punctuation, spaced-out letters joined."""
     t = unicodedata.normalize("NFKC", text or "").lower()
-    t = _SPACED.sub(lambda m: "".join(m[0].split()), _PUNCTUATION.sub("", t))
-    found = set(t.split())
-    out = {w for w in found if 3 <= len(w) <= _UNIT}
-    for w in found:
-        if not w.isalpha() and any(c in w for c in "013457") and any(c.isalpha() for c in w):
-            plain = w.translate(_LEET)
-            if 3 <= len(plain) <= _UNIT:
-                out.add(plain)
-        if len(w) > _UNIT:
-            out.update(w[i : i + _UNIT] for i in range(0, len(w) - _UNIT // 2, _UNIT // 2))
+    return _SPACED.sub(lambda m: "".join(m[0].split()), _PUNCTUATION.sub("", t)).split()
+
+
+def joined(words: list[str]) -> list[str]:
+    """For every word but the last, it and the next one as one word if both are fragments, else nothing."""
+    return [a + b if len(a) < 4 and len(b) < 4 and len(a) + len(b) > 3 else "" for a, b in zip(words, words[1:])]
+
+
+def forms(word: str) -> list[str]:
+    """The units a word stands for: itself (in pieces of ``_UNIT`` characters if longer), with letters for
+    digits, and without a character that is put between all others."""
+    if len(word) < 2:
+        return []
+    out = [word] if len(word) <= _UNIT else [word[i : i + _UNIT] for i in range(0, len(word) - _UNIT // 2, _UNIT // 2)]
+    if not word.isalpha() and any(c in word for c in "013457") and any(c.isalpha() for c in word):
+        out += forms(word.translate(_LEET))
+    if 4 < len(word) <= 2 * _UNIT and len(set(word[1::2])) == 1:
+        out += forms(word[::2])
     return out
 
 
@@ -72,14 +93,14 @@ def _places(n: int) -> tuple[np.ndarray, ...]:
 
 
 def _codes(words: list[str]) -> np.ndarray:
-    """Words of one length as rows of code points."""
-    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1)
+    """Words of one length, their ends marked, as rows of code points."""
+    return np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), -1)
 
 
 def _by_length(words: list[str]) -> dict[int, np.ndarray]:
     by: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        by.setdefault(len(w), []).append(i)
+        by.setdefault(len(w) + 2, []).append(i)
     return {n: np.array(at) for n, at in by.items() if n >= 3}
 
 
@@ -107,12 +128,13 @@ class Features:
     """The landmarks' subsequences of three characters, with their weights by landmark (normalised)."""
 
     def __init__(self, marks: list[str]) -> None:
-        letters = sorted(set("".join(marks)))
+        letters = sorted(set("".join(marks)) | set("^$"))
         self.letters = np.array([ord(x) for x in letters], np.uint32)
         self.base = len(letters) + 1
         index: dict[int, int] = {}
         cells = []
         for col, (m, own) in enumerate(zip(marks, _own(marks))):
+            m = f"^{m}$"
             for i, j, k, v in zip(*_places(len(m))):
                 code = 0
                 for x in (m[i], m[j], m[k]):
@@ -193,27 +215,63 @@ def kernel(words: list[str], marks: list[str]) -> np.ndarray:
 
 
 class Model:
-    """Landmarks with weights; ``margins`` scores words, ``probability`` texts' greatest margins."""
+    """Landmarks with weights; ``worth`` is what a word adds to a window's margin, ``margin`` a text's
+    greatest one, ``probability`` its calibrated value."""
 
     def __init__(self, toxic: list[str], clean: list[str]) -> None:
         self.toxic, self.marks = toxic, toxic + clean
-        self.beta, self.bias = np.zeros(len(self.marks), np.float32), FLOOR
+        self.beta, self.bias = np.zeros(len(self.marks), np.float32), 0.0
         self.slope, self.middle = 1.0, 0.0
         self.features = Features(self.marks) if toxic else None
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        out = np.full(len(words), FLOOR, np.float32)
+    def worth(self, words: list[str]) -> np.ndarray:
+        out = np.zeros(len(words), np.float32)
         if self.toxic:
-            rows, k = self.features.kernel(words, len(self.toxic), NEAR)
-            out[rows] = np.maximum(k @ self.beta + self.bias, FLOOR)
+            owner, units = _owned(words)
+            rows, k = self.features.kernel(units, len(self.toxic), NEAR)
+            np.maximum.at(out, owner[rows], np.maximum(k**POWER @ self.beta, 0))
         return out
 
+    def margin(self, words: list[str], pairs: list[str], worth: dict[str, float]) -> float:
+        """The greatest window's margin, from the words, their joined neighbours and what each is worth."""
+        hot = {w for w in set(words).union(pairs) if worth[w] > 0}
+        if not hot:
+            return self.bias
+        hits = [(i, w) for i, w in enumerate(words) if w in hot]
+        if not hot.isdisjoint(pairs):
+            hits = sorted(hits + [(i, w) for i, w in enumerate(pairs) if w in hot])
+        return self.bias + best_window([i for i, _ in hits], [w for _, w in hits], worth)[0]
+
     def probability(self, margin: np.ndarray) -> np.ndarray:
         if not self.toxic:
             return np.zeros(len(margin))
         return 1 / (1 + np.exp(-self.slope * (np.asarray(margin, float) - self.middle)))
 
 
+def _owned(words: list[str]) -> tuple[np.ndarray, list[str]]:
+    """The words' units, and for each the place of its word."""
+    made = [forms(w) for w in words]
+    return np.repeat(np.arange(len(words)), [len(m) for m in made]), [u for m in made for u in m]
+
+
+def best_window(at: list[int], what: list, worth) -> tuple[float, tuple[int, int]]:
+    """The greatest sum of what the distinct words of one window are worth, and the window as a range of hits."""
+    held: Counter = Counter()
+    best, span, now, first = 0.0, (0, 0), 0.0, 0
+    for j, (i, w) in enumerate(zip(at, what)):
+        while i - at[first] >= WINDOW:
+            held[what[first]] -= 1
+            if not held[what[first]]:
+                now -= worth[what[first]]
+            first += 1
+        if not held[w]:
+            now += worth[w]
+        held[w] += 1
+        if now > best + 1e-9:
+            best, span = now, (first, j + 1)
+    return best, span
+
+
 def _spread(words: list[str], weight: np.ndarray, most: int) -> list[str]:
     """Landmarks far from each other, heavier words first."""
     chosen: list[str] = []
@@ -227,9 +285,9 @@ def _spread(words: list[str], weight: np.ndarray, most: int) -> list[str]:
     return chosen
 
 
-def _apart(bags: list[np.ndarray], labels: list[int], words: list[str]) -> tuple[list[np.ndarray], list[int]]:
-    """One text of each group of near copies (words alike by 0.8, found by bands of four least hashes),
-    so that a much-copied text counts as the one witness that it is. Bags are sorted word numbers."""
+def _apart(bags: list[np.ndarray], words: list[str]) -> list[int]:
+    """The place of one text of each group of near copies (words alike by 0.8, found by bands of four least
+    hashes), so that a much-copied text counts as the one witness that it is. Bags are sorted word numbers."""
     raw = [w.encode() for w in words]
     hashes = np.array([[zlib.crc32(w, s) for w in raw] for s in range(16)], np.uint32) if raw else np.zeros((16, 0), np.uint32)
     seen: dict[tuple, int] = {}
@@ -244,7 +302,7 @@ def _apart(bags: list[np.ndarray], labels: list[int], words: list[str]) -> tuple
         else:
             kept.append(i)
             seen.update((x, i) for x in bands)
-    return [bags[i] for i in kept], [labels[i] for i in kept]
+    return kept
 
 
 def _variants(word: str, rng: np.random.Generator) -> list[str]:
@@ -279,30 +337,19 @@ def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RI
     return w[:-1], float(w[-1])
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
-    """Learn from labelled texts (1: toxic)."""
-    rng = np.random.default_rng(seed)
-    number: dict[str, int] = {}
-    bags = [np.array(sorted(number.setdefault(w, len(number)) for w in sorted(units(t))), np.int32) for t in texts]
-    words = list(number)
-    del number
-    bags, labels = _apart(bags, labels, words)
-    marks = np.array(labels) == 1
-    toxic, clean = [b for b, y in zip(bags, marks) if y], [b for b, y in zip(bags, marks) if not y]
-    if not toxic or not clean:
-        return Model([], [])
-    in_toxic, in_clean = (np.bincount(np.concatenate(part), minlength=len(words)) for part in (toxic, clean))
-    share = np.log10((len(toxic) + len(clean)) / len(toxic))
+def _strong_words(words: list[str], in_toxic: np.ndarray, in_clean: np.ndarray, n_toxic: int, n_clean: int) -> Counter:
+    """Words of toxic texts with a character run that chance would hardly put there alone, and in how many texts they are."""
+    share = np.log10((n_toxic + n_clean) / n_toxic)
     need = max(3, int(EVIDENCE / share))
     # Runs are counted in two passes, the first by hash alone: only those that may be frequent get entries.
     rough = np.zeros(1 << 22, np.int64)
     for i in np.flatnonzero(in_toxic):
         for g in _grams(words[i]):
-            rough[hash(g) & 0x3FFFFF] += in_toxic[i]
+            rough[zlib.crc32(g.encode()) & 0x3FFFFF] += in_toxic[i]
     of_t: Counter = Counter()
     for i in np.flatnonzero(in_toxic):
         for g in _grams(words[i]):
-            if rough[hash(g) & 0x3FFFFF] >= need:
+            if rough[zlib.crc32(g.encode()) & 0x3FFFFF] >= need:
                 of_t[g] += int(in_toxic[i])
     of_t = Counter({g: n for g, n in of_t.items() if n >= need})
     del rough
@@ -311,39 +358,126 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         for g in _grams(words[i]):
             if g in of_t:
                 of_c[g] += int(in_clean[i])
-    df_t = {words[i]: int(in_toxic[i]) for i in np.flatnonzero(in_toxic)}
-    df_c = {words[i]: int(in_clean[i]) for i in np.flatnonzero(in_clean)}
 
-    def strong(g: str) -> float:
+    def strong(g: str) -> bool:
         """Log odds of a character run, if chance would hardly put it into toxic texts alone."""
-        t, c = of_t.get(g, 0), of_c.get(g, 0)
-        odds = np.log((t + 0.5) / len(toxic)) - np.log((c + 0.5) / len(clean))
-        return odds if odds > 3 and t * share - c * 3 >= EVIDENCE else -9.0
+        t, c = of_t[g], of_c[g]
+        odds = np.log((t + 0.5) / n_toxic) - np.log((c + 0.5) / n_clean)
+        return odds > 3 and t * share - c * 3 >= EVIDENCE
+
+    good = {g for g in of_t if strong(g)}
+    found = (i for i in np.flatnonzero(in_toxic) if in_clean[i] * n_toxic < 0.05 * in_toxic[i] * n_clean)
+    return Counter({words[i]: int(in_toxic[i]) for i in found if not good.isdisjoint(_grams(words[i]))})
+
 
-    strength = {w: max((strong(g) for g in _grams(w) if g in of_t), default=-9.0) for w in df_t if df_c.get(w, 0) * len(toxic) < 0.05 * df_t[w] * len(clean)}
-    witness = Counter({w: df_t[w] for w, x in strength.items() if x > 0})
+def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
+    """Learn from labelled texts (1: toxic)."""
+    rng = np.random.default_rng(seed)
+    number: dict[str, int] = {}
+    orders = []
+    for t in texts:
+        words = word_list(t)
+        pairs = joined(words)
+        both = [number.setdefault(w, len(number)) for w in words]
+        orders.append((np.array(both, np.int32), np.array([number.setdefault(w, len(number)) if w else -1 for w in pairs], np.int32)))
+    words = list(number)
+    del number
+    bags = [np.unique(np.concatenate([a, b[b >= 0]])) for a, b in orders]
+    kept = _apart(bags, words)
+    bags, orders, labels = [bags[i] for i in kept], [orders[i] for i in kept], [labels[i] for i in kept]
+    is_toxic = np.array(labels) == 1
+    if is_toxic.all() or not is_toxic.any():
+        return Model([], [])
+    in_toxic, in_clean = (np.bincount(np.concatenate([b for b, y in zip(bags, is_toxic) if y == z]), minlength=len(words)) for z in (True, False))
+    witness = _strong_words(words, in_toxic, in_clean, int(is_toxic.sum()), int((~is_toxic).sum()))
     if not witness:
         return Model([], [])
-    found = sorted(witness, key=lambda w: (-witness[w], w))[:3000]
+    found = sorted(witness, key=lambda w: (-witness[w], w))[:WITNESSES]
     short = [w for w in found if len(w) <= LONGEST]
-    marks = _spread(short, np.log1p([witness[w] for w in short]), TOXIC_LANDMARKS)
-    others = sorted(df_c)
-    at, near = Features(marks).kernel(others, len(marks), NEAR)
-    near = near.max(axis=1, initial=0)
-    hard = [others[at[i]] for i in np.lexsort((at, -near))][:6000]
-    made = sorted({v for w in found[:400] for v in _variants(w, rng)} - set(df_c))
-    model = Model(marks, _spread([w for w in hard[:400] if len(w) <= LONGEST], np.ones(min(400, sum(len(w) <= LONGEST for w in hard[:400]))), CLEAN_LANDMARKS))
-    rows = found + made + hard
-    y = np.array([1.0] * (len(found) + len(made)) + [-1.0] * len(hard))
-    weight = np.array([1.0 + np.log(witness[w]) for w in found] + [0.3] * len(made) + [1.0] * len(hard))
-    k = kernel(rows, model.marks).astype(float)
-    values, vectors = np.linalg.eigh(kernel(model.marks, model.marks).astype(float))
+    toxic = _spread(short, np.log1p([witness[w] for w in short]), TOXIC_LANDMARKS)
+    # What no window of the sample holds near a landmark adds nothing: only these words are kept.
+    owner, units = _owned(words)
+    rows, near = Features(toxic).kernel(units, len(toxic), NEAR)
+    near_of = np.zeros(len(words), np.float32)
+    np.maximum.at(near_of, owner[rows], near.max(axis=1, initial=0))
+    clear_marks = near[in_clean[owner[rows]] > 0].max(axis=0, initial=0) < ALIKE
+    telling = np.zeros(len(words), bool)
+    np.logical_or.at(telling, owner[rows], clear_marks[near.argmax(axis=1)])
+    rivals = np.flatnonzero((near_of > 0) & (in_clean > 0))
+    rivals = rivals[np.lexsort((rivals, -(near_of[rivals] * np.log1p(in_clean[rivals]))))][:RIVALS]
+    clean = _spread([words[i] for i in rivals if 2 < len(words[i]) <= LONGEST][:600], np.log1p([in_clean[i] for i in rivals if 2 < len(words[i]) <= LONGEST][:600]), CLEAN_LANDMARKS)
+    model = Model(toxic, clean)
+    values, vectors = np.linalg.eigh(kernel(model.marks, model.marks).astype(float) ** POWER)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
-    w, bias = _machine(k @ root, y, weight)
-    model.beta, model.bias = (root @ w).astype(np.float32), bias
-    score = np.concatenate([model.margins(words[i : i + 50_000]) for i in range(0, len(words), 50_000)])
-    top = np.array([score[b].max(initial=FLOOR) for b in bags], float)
-    model.slope, model.middle = _platt(top, np.array(labels, float))
+    kept = np.flatnonzero(near_of > 0)
+    place = np.full(len(words) + 1, -1)
+    place[kept] = np.arange(len(kept))
+    hits, y, weight = [], [], []
+    made: dict[str, int] = {}
+    spoiled: dict[int, list[int]] = {}
+
+    def disguise(w: int) -> int:
+        if w not in spoiled:
+            spoiled[w] = [len(kept) + made.setdefault(v, len(made)) for v in _variants(words[kept[w]], rng)]
+        return spoiled[w][int(rng.integers(len(spoiled[w])))] if spoiled[w] else w
+
+    for (a, b), label in zip(orders, labels):
+        at = np.concatenate([np.arange(len(a)), np.arange(len(b))])
+        what = place[np.concatenate([a, b])]
+        order = np.lexsort((np.arange(len(at)), at))
+        order = order[what[order] >= 0]
+        at, what = at[order].tolist(), what[order].tolist()
+        hits.append((at, what))
+        y.append(1.0 if label == 1 else -1.0)
+        weight.append(1.0)
+        told = [(i, w) for i, w in zip(at, what) if words[kept[w]] in witness] if label == 1 else []
+        if told:
+            # The same text with its witnesses disguised; one witness alone, plain and disguised, if no clean word is like it.
+            disguised = {w: disguise(w) for _, w in told}
+            more = [(at, [disguised.get(w, w) for w in what])]
+            clear = sorted(w for w in disguised if telling[kept[w]])
+            if clear:
+                alone = clear[int(rng.integers(len(clear)))]
+                more += [([0], [alone]), ([0], [disguised[alone]])]
+            hits += more
+            y += [1.0] * len(more)
+            weight += [DISGUISED] * len(more)
+    y, weight = np.array(y), np.array(weight)
+    balance = np.where(y > 0, max(1.0, (weight[y < 0].sum() / weight[y > 0].sum()) ** 0.5), 1.0)
+    named = [words[i] for i in kept] + list(made)
+    owner, units = _owned(named)
+    rows, k = model.features.kernel(units, len(toxic), NEAR)
+    k = k.astype(float) ** POWER @ root
+    w, worth, least = np.zeros(len(model.marks)), np.zeros(len(named)), np.inf
+    np.maximum.at(worth, owner[rows], 1.0)
+    margin = np.ones(len(rows))
+    for _ in range(ROUNDS):
+        best = np.full(len(named), -1)
+        order = np.argsort(margin, kind="stable")
+        order = order[margin[order] > 0]
+        best[owner[rows[order]]] = order
+        x = np.zeros((len(hits), len(model.marks)))
+        for i, (at, what) in enumerate(hits):
+            if at:
+                _, (lo, hi) = best_window(at, what, worth)
+                x[i] = k[[best[v] for v in sorted(set(what[lo:hi])) if best[v] >= 0]].sum(axis=0)
+        new, bias = _machine(x, y, weight * balance)
+        margin = k @ new
+        worth = np.zeros(len(named))
+        np.maximum.at(worth, owner[rows], np.maximum(margin, 0))
+        top = np.array([bias + best_window(at, what, worth)[0] for at, what in hits], float)
+        loss = float((weight * balance * np.maximum(0, 1 - y * top) ** 2).sum() + RIDGE * new @ new)
+        if loss < least * (1 - 1e-4):
+            least, w, model.bias, tops = loss, new, bias, top
+        elif loss > least:
+            break
+    model.beta = (root @ w).astype(np.float32)
+    plain = weight != DISGUISED
+    model.slope, _ = _platt(tops[plain], (y[plain] > 0).astype(float))
+    # A score of REJECT lies above the clean tail, by a quarter of the way to the toxic one.
+    bound, other = np.quantile(tops[plain & (y < 0)], 1 - CLEAN_TAIL), np.quantile(tops[plain & (y > 0)], TOXIC_TAIL)
+    reject = bound + max(0.0, other - bound) / 4
+    model.middle = float(reject - np.log(REJECT / (1 - REJECT)) / model.slope)
     return model
 
 
@@ -366,7 +500,9 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
-    """At most ``sample`` texts of each class, first by hash, from ids whose crc32 mod 3 is not 1."""
+    """At most ``sample`` texts of each class, first by hash, from ids whose crc32 mod 3 is not 1.
+
+    Ids are chosen first and texts fetched after: no task gathers more than its part of 4 x ``sample`` texts."""
     known = labels.where("toxic is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     order = F.xxhash64("doc_id")
     chosen = None
@@ -376,10 +512,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mo
     chosen = chosen.groupBy("doc_id").agg(F.max("y").alias("y"))
     # At most 4 x sample rows of 12 bytes are broadcast.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(chosen), "doc_id")
-    rows = []
-    for y in (0, 1):
-        rows.append(texts.where(F.col("y") == y).select("doc_id", "text", "y"))
-    picked = rows[0].orderBy(order, "doc_id", "text").limit(sample).union(rows[1].orderBy(order, "doc_id", "text").limit(sample)).collect()
+    held, path = write_table(texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "labelled")
+    first = [held.where(F.col("y") == y).select("doc_id").orderBy(order, "doc_id").limit(sample) for y in (0, 1)]
+    ids = first[0].union(first[1])
+    picked = held.join(F.broadcast(ids), "doc_id", "left_semi").collect()  # at most 2 x sample texts of most_bytes
+    drop_path(docs.sparkSession, path)
     picked.sort(key=lambda r: (r.doc_id, r.text))
     return [r.text for r in picked], [r.y for r in picked]
 
@@ -388,29 +525,33 @@ _known: dict[bytes, dict[str, float]] = {}
 
 
 def score_texts(texts: list[str | None], model: Model) -> np.ndarray:
-    """Each text's probability; margins of words already seen come from a cache of bounded size."""
-    bags = [units(t) for t in texts]
+    """Each text's probability; what words already seen are worth comes from a cache of bounded size."""
     key = model.beta.tobytes()
     if key not in _known:
         _known.clear()
         _known[key] = {}
     cache = _known[key]
-    words = set().union(*bags)
-    fresh = words.difference(cache)
-    if len(fresh) + len(cache) > _CACHE:
-        cache.clear()
-        fresh = words
-    fresh = list(fresh)
-    for j in range(0, len(fresh), 50_000):
-        part = fresh[j : j + 50_000]
-        cache.update(zip(part, model.margins(part).tolist()))
-    top = np.array([max(map(cache.__getitem__, b), default=FLOOR) for b in bags])
-    return model.probability(top)
+    margins = np.empty(len(texts))
+    for i in range(0, len(texts), _TEXTS):
+        lists = [word_list(t) for t in texts[i : i + _TEXTS]]
+        pairs = [joined(w) for w in lists]
+        words = set().union(*lists, *pairs)
+        fresh = words.difference(cache)
+        if len(fresh) + len(cache) > _CACHE:
+            cache.clear()
+            fresh = words
+        fresh = list(fresh)
+        for j in range(0, len(fresh), 50_000):
+            part = fresh[j : j + 50_000]
+            cache.update(zip(part, model.worth(part).tolist()))
+        margins[i : i + _TEXTS] = [model.margin(w, p, cache) for w, p in zip(lists, pairs)]
+    return model.probability(margins)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:
     """The rows with all their columns and one more: the text's probability of being toxic."""
     bound_batches(docs.sparkSession)
+    refuse_names(docs, name)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

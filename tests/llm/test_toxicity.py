@@ -3,6 +3,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from millrace.llm import toxicity as T
 
@@ -12,7 +13,7 @@ BAD = ["idiot", "moron", "trash", "scumbag"]
 
 def brute_kernel(a, b):
     def phi(w):
-        out = {}
+        out, w = {}, f"^{w}$"
         for i, j, k in combinations(range(len(w)), 3):
             if k - i < T.SPAN:
                 out[w[i] + w[j] + w[k]] = out.get(w[i] + w[j] + w[k], 0) + T.DECAY ** (k - i + 1)
@@ -46,13 +47,39 @@ def test_kernel_matches_its_definition():
     assert sorted(rows.tolist()) == want and np.allclose(values[np.argsort(rows)], got[want], atol=1e-6)
 
 
-def test_units():
-    assert {"idiot", "you"} <= T.units("You i.d.i.o.t") and "idiot" in T.units("i d  i o t!") and "idiot" in T.units("ID1OT") and "idiot" in T.units("_id-iot_")
-    assert T.units(None) == T.units(" a . ") == set()
-    long = T.units("q" * 500 + "z" * 60)
+def test_words_and_their_forms():
+    words = lambda t: set(T.word_list(t))
+    assert {"idiot", "you"} <= words("You i.d.i.o.t") and "idiot" in words("i d  i o t!") and "idiot" in words("_id-iot_")
+    assert words(None) == words(" . ") == set()
+    assert T.forms("id1ot") == ["id1ot", "idiot"] and T.forms("ixdxixoxt") == ["ixdxixoxt", "idiot"] and T.forms("a") == []
+    assert T.joined(["you", "mo", "ron", "there", "x"]) == ["youmo", "moron", "", ""]
+    long = T.forms("q" * 500 + "z" * 60)
     assert all(len(w) <= 28 for w in long) and any("qz" in w for w in long)
 
 
+def brute_score(text, model):
+    """The definition: over all windows, the sum of what the distinct words and joined neighbours are worth."""
+
+    def worth(word):
+        ks = [[brute_kernel(u, m) for m in model.marks] for u in T.forms(word)]
+        return max((max(0.0, float(np.array(k) ** T.POWER @ model.beta)) for k in ks if max(k[: len(model.toxic)]) >= T.NEAR), default=0.0)
+
+    w = T.word_list(text)
+    pairs = [*T.joined(w), ""]
+    known = {x: worth(x) for x in {*w, *pairs}}
+    sums = [sum(known[x] for x in {*w[i : i + T.WINDOW], *pairs[i : i + T.WINDOW]}) for i in range(len(w))]
+    margin = model.bias + max(sums, default=0.0)
+    return 1 / (1 + np.exp(-model.slope * (margin - model.middle)))
+
+
+def test_scores_against_brute_force():
+    rows = made(300, 6)
+    model = T.fit([r[1] for r in rows], [r[2] for r in rows])
+    texts = [r[1] for r in rows[:24]] + ["", None, "mo ron", "x" * 90 + " idiot", " ".join(f"{a} {b}" for a in WORDS[:9] for b in [*BAD, *WORDS]), "idiot " * 3 + "the " * 200 + "scumbag"]
+    assert len(T.word_list(texts[-2])) > T.WINDOW
+    assert np.allclose(T.score_texts(texts, model), [brute_score(t, model) for t in texts], atol=1e-4)
+
+
 def test_held_out_accuracy_and_disguises():
     rows = made(1200, 2)
     model = T.fit([r[1] for r in rows if r[0] % 3], [r[2] for r in rows if r[0] % 3])
@@ -61,7 +88,7 @@ def test_held_out_accuracy_and_disguises():
     y = np.array([r[2] for r in rest]) == 1
     assert (p == y).mean() > 0.98
     clean = " ".join(WORDS)
-    assert (T.score_texts([f"{clean} {x} {clean}" for x in ("idiot", "idi-ot", "i d i o t", "iddiot", "idixot", "m.o.r.o.n", "mooron", "sc-umbag", "scumbbag")], model) >= T.REJECT).all()
+    assert (T.score_texts([f"{clean} {x} {clean}" for x in ("idiot", "mo ron", "ixdxixoxt", "idi-ot", "i d i o t", "iddiot", "idixot", "m.o.r.o.n", "mooron", "sc-umbag", "scumbbag")], model) >= T.REJECT).all()
     assert (T.score_texts([clean, "", None, "...", "1 2 3"], model) < T.REJECT).all()
 
 
@@ -80,5 +107,7 @@ def test_queries(spark):
     none = T.toxicity(docs, labels.where("toxic = 0")).collect()
     assert {r.score for r in none} == {0.0} and len(none) == docs.count()
     assert T.toxicity(docs.limit(0), labels).collect() == []
+    with pytest.raises(ValueError):
+        T.score(docs, T.Model([], []), name="SCORE")
     texts, ys = T.labelled_sample(docs, labels, sample=20)
     assert len(texts) == 40 and sum(ys) == 20
