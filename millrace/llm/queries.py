@@ -31,8 +31,7 @@ def op2_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = mixing.mix(_table(spark, sf_dir, "documents"), keep_marks=True)
-    return marked.select("doc_id", "tokens", "cell_source", "cell_lang", "cell_topic", "probability", "sampled")
+    return mixing.mix_marks(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select("doc_id", "tokens", "cell_source", "cell_lang", "cell_topic", "probability", "sampled")
 
 
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ claiming the first slot of its order that is still free, until none is. The tabl
 no shuffle, and adding or losing a shard moves few rows.
 
 Cases with a defined result: a null key is placed as the key "null"; repeated rows go to one shard; an
-empty table gives an empty result; further columns pass through untouched.
+empty table gives an empty result; further columns pass through untouched, and a column of the new
+column's name is refused.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import refuse_names
+
 SHARDS, SLOTS = 64, 8191
 
 
@@ -46,6 +49,7 @@ def slot(key: Column, slots: int = SLOTS) -> Column:
 
 def place(rows: DataFrame, key: str | Column = "doc_id", shards: list[str] | None = None, slots: int = SLOTS, name: str = "shard") -> DataFrame:
     """The rows with all their columns and one more: the shard's index."""
+    refuse_names(rows, name)
     shards = shards or [f"shard-{i:05d}" for i in range(SHARDS)]
     # One folded constant: the table as text, split once when the plan is made.
     table = F.split(F.lit(",".join(map(str, lookup(shards, slots)))), ",").cast("array<int>")

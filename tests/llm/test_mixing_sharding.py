@@ -1,6 +1,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import mixing, sharding
 
@@ -22,40 +23,51 @@ def duck(sql, data):
     return con.sql(sql).fetchall()
 
 
-def test_rake_meets_its_marginals():
+def test_rake_meets_its_marginals_below_one():
     rng = np.random.default_rng(0)
-    cells = rng.integers(1, 1000, (4, 3, 2)).astype(float)
-    want = [np.array(w) for w in ([0.4, 0.3, 0.2, 0.1], [0.5, 0.3, 0.2], [0.7, 0.3])]
-    out = cells * mixing.rake(cells, want)
-    for axis, w in enumerate(want):
-        got = out.sum(axis=tuple(i for i in range(3) if i != axis))
-        assert np.allclose(got / out.sum(), w, atol=1e-6)
-
-
-def test_levels():
-    cells, scale = np.array([10.0, 10, 80, 0]), np.array([5.0, 2, 1, 9])
-    m = mixing.level(cells, scale, 0.8)
-    p = np.minimum(1, m * scale)
-    assert np.isclose((p * cells).sum(), 80) and p[0] == 1 and p[1] == 1
-    assert np.isclose((np.minimum(1, mixing.level(cells, scale, 0.1) * scale) * cells).sum(), 10)
-    assert (np.minimum(1, mixing.level(cells, scale, 1.0) * scale)[:3] == 1).all()
-    even = mixing.calibrated({("src0", "en", "prose"): 5}, mixing.TARGETS)
-    assert even == {("src0", "en", "prose"): 0.8} and mixing.calibrated({}, mixing.TARGETS) == {}
+    cells = rng.integers(300, 1000, (4, 3, 2)).astype(float)
+    targets = [np.array(w) for w in ([0.4, 0.3, 0.2, 0.1], [0.5, 0.3, 0.2], [0.7, 0.3])]
+    held = [cells.sum(axis=tuple(i for i in range(3) if i != axis)) for axis in range(3)]
+    total = mixing.size(cells, targets)
+    assert np.isclose(total, mixing.SLACK * min((h / t).min() for h, t in zip(held, targets)))
+    p = np.minimum(1, mixing.rake(cells, [mixing.wants(h, t, total) for h, t in zip(held, targets)]))
+    for axis, t in enumerate(targets):
+        assert np.allclose((cells * p).sum(axis=tuple(i for i in range(3) if i != axis)), t * total, rtol=1e-3)
+
+
+def test_wants_and_size():
+    held = np.array([10.0, 0, 40, 50])
+    assert np.allclose(mixing.wants(held, np.array([0.5, 0.2, 0.2, 0.1]), 40), [10, 0, 20, 10])
+    assert np.allclose(mixing.wants(held, np.array([0.1, 0.0, 0.4, 0.5]), 60), [6, 0, 24, 30])
+    assert np.allclose(mixing.wants(held, np.array([0.9, 0.0, 0.1, 0.0]), 20), [10, 0, 10, 0])
+    cells = np.array([[10.0], [990.0]])
+    targets = [np.array([0.5, 0.5]), np.array([1.0])]
+    assert np.isclose(mixing.size(cells, targets, least=0.001), 18) and np.isclose(mixing.size(cells, targets), 50)
+    assert np.isclose(mixing.size(np.array([[500.0], [500.0]]), targets), 800)
+    assert mixing.calibrated({("src0", "en", "prose"): 5}, mixing.TARGETS) == {("src0", "en", "prose"): 0.8} and mixing.calibrated({}, mixing.TARGETS) == {}
 
 
 def test_mix_matches_sql_and_reaches_its_targets(spark):
     data = rows()
     df = spark.createDataFrame(data, SCHEMA).drop("tokens")
-    marked = mixing.mix(df, keep_marks=True).select("doc_id", "tokens", "cell_source", "cell_lang", "cell_topic", "probability", "sampled").collect()
+    marked = mixing.mix_marks(df).select("doc_id", "tokens", "cell_source", "cell_lang", "cell_topic", "probability", "sampled").collect()
     assert sorted(map(tuple, marked), key=str) == sorted(duck(mixing.sql(), data), key=str)
-    kept = mixing.mix(spark.createDataFrame(data, SCHEMA)).collect()
-    assert sorted(map(str, (r.doc_id for r in kept))) == sorted(str(r.doc_id) for r in marked if r.sampled)
-    expected = {}
+    clashing = spark.createDataFrame(data, SCHEMA).withColumn("__tokens", F.lit(1)).withColumn("__SOURCE", F.lit("x"))
+    kept = mixing.mix(clashing)
+    assert kept.columns == clashing.columns
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(r.doc_id) for r in marked if r.sampled)
+    with pytest.raises(ValueError):
+        mixing.mix_marks(clashing)
+    got = mixing.shares(df).collect()
+    held = {(r.marginal, r.value): r for r in got if r.held > 0}
+    for marginal in ("source", "lang", "topic"):
+        reachable = sum(r.target for (m, _), r in held.items() if m == marginal)
+        assert all(abs(r.expected - r.target / reachable) < 0.01 for (m, _), r in held.items() if m == marginal)
+    drawn = {}
     for r in marked:
-        expected[r.cell_lang] = expected.get(r.cell_lang, 0) + r.tokens * r.probability
-    held = sum(r.tokens for r in marked)
-    assert abs(sum(expected.values()) / held - mixing.KEEP) < 0.01
-    assert mixing.mix(df.limit(0)).collect() == []
+        drawn[r.cell_source] = drawn.get(r.cell_source, 0) + r.tokens * r.sampled
+    assert abs(drawn["src0"] / sum(drawn.values()) - held["source", "src0"].expected) < 0.05
+    assert mixing.mix(df.limit(0)).collect() == [] and {r.expected for r in mixing.shares(df.limit(0)).collect()} == {0.0}
 
 
 def test_table_is_filled_by_turns():
