@@ -163,8 +163,21 @@ def media_tiles(media: DataFrame, id_col: str = "media_id", media_col: str = "me
     return media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, f"id {kind}, width int, height int, channels int, bits int, tile binary, dhash string, error string")
 
 
+def store(payload: bytes, width: int = WIDTH) -> bytes:
+    """The payload as a grey image: one of odd CRC-32 as BMP, the others as binary grey map."""
+    if zlib.crc32(payload) % 2:
+        return encode_bmp(np.frombuffer(payload, np.uint8).reshape(-1, width))
+    return encode_pgm(payload, width)
+
+
+def feature(image: np.ndarray, size: int = TILE) -> str:
+    """The difference hash, and 64 bits of the SHA-256 of what is read back from the NPY tile."""
+    tile = np.load(io.BytesIO(npy_tile(image, size)))
+    return f"{difference_hash(image)}-{hashlib.sha256(tile.tobytes()).hexdigest()[:16]}"
+
+
 def stored_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Every text stored as an image and read back: ``doc_id, n_bytes, payload_bytes, payload_sha256,
+    """Every text stored as a Netpbm or BMP image and read back, its tile written as NPY and read back too: ``doc_id, n_bytes, payload_bytes, payload_sha256,
     tail_crc32, media_bytes, media_sha256, feature``."""
     bound_batches(docs.sparkSession)
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -175,10 +188,10 @@ def stored_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 raw = (text.as_py() or "").encode()
-                media = encode_pgm(raw + bytes(-len(raw) % width if raw else width), width)
+                media = store(raw + bytes(-len(raw) % width if raw else width), width)
                 image = decode(media)
                 back = image.tobytes()
-                out.append((doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image)))
+                out.append((doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(image)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 

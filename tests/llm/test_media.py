@@ -61,11 +61,17 @@ def test_tiles(spark):
 def test_texts_come_back(spark):
     texts = [None, "", "a", "x" * 64, "é" * 33, "long " * 100_000, "\0" * 70, "a"]
     df = spark.createDataFrame([(i if i else None, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int")
-    got = {r.doc_id: r for r in stored_texts(df).collect()}
+    got, kinds = {r.doc_id: r for r in stored_texts(df).collect()}, set()
     for i, t in enumerate(texts):
         raw, r = (t or "").encode(), got[i if i else None]
         pay = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
-        pgm = encode_pgm(pay)
-        assert tuple(r)[1:7] == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]), len(pgm), hashlib.sha256(pgm).hexdigest())
+        image = np.frombuffer(pay, np.uint8).reshape(-1, 64)
+        stored = encode_bmp(image) if zlib.crc32(pay) % 2 else encode_pgm(pay)
+        kinds.add(stored[:2])
+        assert tuple(r)[1:7] == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
+        if len(pay) < 3000:
+            tile = np.rint(slow_resize(image[:, :, None], 32, 32)).astype(np.uint8)
+            assert r.feature == difference_hash(image[:, :, None]) + "-" + hashlib.sha256(tile.tobytes()).hexdigest()[:16]
+    assert kinds == {b"BM", b"P5"}
     assert got[2].feature == got[7].feature
     assert stored_texts(df.limit(0)).collect() == []
