@@ -29,11 +29,11 @@ from .common import bound_batches
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|([^<]+|<)", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"[ \t\n\r\f\v  -     　 \x85]+")
-_RAW = {"script", "style", "noscript", "template", "iframe", "svg", "object", "textarea", "title", "math"}
+_RAW = {"script", "style", "noscript", "template", "iframe", "svg", "object", "textarea", "title", "annotation", "annotation-xml"}
 _RAW_TEXT = {"script", "style", "textarea", "title", "iframe", "noscript"}
-#: Start tags that end an unclosed svg or math, unless one of the elements that may hold HTML is open in it.
+#: Start tags that end an unclosed svg, unless one of the elements that may hold HTML is open in it.
 _BREAKS = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strike strong sub sup table tt u ul var".split())
-_HOLDS = ("foreignobject", "desc", "title", "annotation-xml", "mi", "mo", "mn", "ms", "mtext")
+_HOLDS = ("foreignobject", "desc", "title")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol option optgroup p pre section select summary table tbody td tfoot th thead tr ul label".split())
 _ENDS_P = _BLOCK - {"button", "label", "option", "optgroup", "td", "th", "caption", "legend"}
@@ -46,20 +46,23 @@ _NAMES = {
     "share": "share social sharing follow tweet facebook", "main": "article content main post entry story body text page prose",
 }
 _CLASS = {w: k for k, ws in _NAMES.items() for w in ws.split()}
+_SAYS = {t: frozenset({k}) for t, k in {"article": "main", "main": "main", "nav": "menu", "aside": "side", "header": "head", "footer": "foot", "form": "form"}.items()}
 _TAGS = "nav header footer aside form article main section div p ul ol li h1 h2 h3 h4 table td blockquote pre figure figcaption button label dl dialog select".split()
 
 
 class Block:
-    __slots__ = ("classes", "links", "tags", "text")
+    __slots__ = ("classes", "links", "near", "tags", "text")
 
-    def __init__(self, tags: frozenset, classes: frozenset, text: str, links: int) -> None:
-        self.tags, self.classes, self.text, self.links = tags, classes, text, links
+    def __init__(self, tags: frozenset, classes: frozenset, near: frozenset, text: str, links: int) -> None:
+        self.tags, self.classes, self.near, self.text, self.links = tags, classes, near, text, links
 
 
 def blocks(html: str | None) -> list[Block]:
     """Leaf blocks in page order, their text with character references decoded and white space closed up."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset, frozenset]] = [("", frozenset(), frozenset())]  # tag, ancestors' tags, ancestors' class kinds
+    # tag, ancestors' tags, ancestors' class kinds, kinds of the nearest ancestor that has any
+    stack: list[tuple[str, frozenset, frozenset, frozenset]] = [("", frozenset(), frozenset(), frozenset())]
+    opened: Counter = Counter()  # how many of each tag are on the stack: it is searched only for those that are
     parts: list[str] = []
     linked = 0
     link_depth = 0
@@ -72,13 +75,14 @@ def blocks(html: str | None) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip(" ")
             if text:
-                out.append(Block(stack[-1][1], stack[-1][2], text, min(linked, len(text))))
+                out.append(Block(*stack[-1][1:], text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
     def close_to(i: int) -> None:
         nonlocal link_depth
         flush()
+        opened.subtract(s[0] for s in stack[i:])
         del stack[i:]
 
     pos, n, source = 0, len(html or ""), html or ""
@@ -97,7 +101,7 @@ def blocks(html: str | None) -> list[Block]:
             continue
         tag, closing = tag.lower(), bool(m[1])
         if skip:
-            foreign = skip in ("svg", "math")
+            foreign = skip == "svg"
             if closing and held[tag]:
                 while inner and (gone := inner.pop()):
                     held[gone] -= 1
@@ -107,7 +111,7 @@ def blocks(html: str | None) -> list[Block]:
             if closing and tag == skip:
                 skip = ""
                 continue
-            if closing and any(s[0] == tag for s in stack) or not closing and foreign and tag in _BREAKS and not any(held[t] for t in _HOLDS):
+            if closing and opened[tag] or not closing and foreign and tag in _BREAKS and not any(held[t] for t in _HOLDS):
                 skip = ""  # the parent ends, or HTML begins: the tag counts as one outside
             else:
                 if not closing and tag in _RAW_TEXT and not (foreign and tag == "title"):
@@ -136,22 +140,20 @@ def blocks(html: str | None) -> list[Block]:
         if tag not in _BLOCK or tag in _VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close_to(i)
-                    break
+            if opened[tag]:
+                close_to(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             else:
                 flush()
             link_depth = 0
             continue
-        if tag in _ENDS_P:
+        if tag in _ENDS_P and opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
                     close_to(i)
                     break
                 if stack[i][0] not in ("", "label"):
                     break
-        if tag in _GOES:
+        if tag in _GOES and any(opened[t] for t in _GOES[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in _ALONE[tag]:
                     break
@@ -160,23 +162,27 @@ def blocks(html: str | None) -> list[Block]:
                     break
         flush()
         link_depth = 0
-        kinds = stack[-1][2]
+        kinds, near = stack[-1][2:]
+        if tag in _SAYS:
+            near = _SAYS[tag]
         if m[3] and "=" in m[3]:
             found = {_CLASS[w.lower()] for k, *v in _ATTR.findall(m[3]) if k.lower() in ("class", "id", "role", "aria-label", "itemprop") for w in _WORD.findall("".join(v)) if w.lower() in _CLASS}
             if found:
-                kinds = kinds | found
-        stack.append((tag, stack[-1][1] | {tag}, kinds))
-        if len(stack) > 4000:  # a runaway of unclosed tags: deeper ones count as their ancestor
-            del stack[2000:3000]
+                kinds, near = kinds | found, frozenset(found)
+        stack.append((tag, stack[-1][1] | {tag}, kinds, near))
+        opened[tag] += 1
     flush()
     return out
 
 
+_SYMBOL = re.compile("[|»›·•©→×]")
 _LENGTHS = (8, 20, 45, 90, 180, 400)
-NAMES = ["one", *(f"tag:{t}" for t in _TAGS), *(f"name:{k}" for k in _NAMES), *(f"long:{x}" for x in _LENGTHS), "links", "all links", "stops", "no stop", "symbols", "in body", "first", "last", "copyright", "in article", "bare"]
+NAMES = ["one", *(f"tag:{t}" for t in _TAGS), *(f"name:{k}" for k in _NAMES), *(f"long:{x}" for x in _LENGTHS), "links", "all links", "stops", "no stop", "symbols", "in body", "first", "last", "copyright", "in article", "bare", *(f"near:{k}" for k in _NAMES)]
 _ORDER = {t: i + 1 for i, t in enumerate(_TAGS)}
 _KIND = {k: i + 1 + len(_TAGS) for i, k in enumerate(_NAMES)}
 _REST = 1 + len(_TAGS) + len(_NAMES)
+_NEAR = len(NAMES) - len(_NAMES) - 1 - len(_TAGS)
+_FIRST, _LAST = NAMES.index("first"), NAMES.index("last")
 
 
 def features(page: list[Block]) -> np.ndarray:
@@ -188,6 +194,8 @@ def features(page: list[Block]) -> np.ndarray:
                 row[_ORDER[t]] = 1
         for k in b.classes:
             row[_KIND[k]] = 1
+        for k in b.near:
+            row[_NEAR + _KIND[k]] = 1
         size = len(b.text)
         for i, least in enumerate(_LENGTHS):
             row[_REST + i] = size >= least
@@ -196,13 +204,13 @@ def features(page: list[Block]) -> np.ndarray:
         row[at + 1] = b.links > 0.8 * size
         row[at + 2] = min(4, b.text.count(". ") + b.text.count(", ")) / 4
         row[at + 3] = b.text[-1] not in ".!?:;\"'…。)"
-        row[at + 4] = min(1, sum(c in "|»›·•©→×" for c in b.text[:400]) / 2)
+        row[at + 4] = min(1, len(_SYMBOL.findall(b.text)) / 2)
         row[at + 5] = not b.tags - {"html", "body", "p", "b"}
         row[at + 8] = "©" in b.text or "all rights reserved" in b.text.lower()
         row[at + 9] = bool(b.tags & {"article", "main"}) or "main" in b.classes
         row[at + 10] = not b.tags & {"p", "li", "td", "h1", "h2", "h3", "h4", "blockquote", "pre", "dd"}
     if len(page):
-        x[0, -5] = x[-1, -4] = 1
+        x[0, _FIRST] = x[-1, _LAST] = 1
     return x
 
 
@@ -344,7 +352,9 @@ def labelled_pages(n: int = 260, seed: int = 11) -> list[tuple[list[Block], list
         out = [f"<{t}>{label(1, phrase())}</{t}>" for t in [rng.choice(["h1", "h1", "h2"])] if rng.random() < 0.9]
         for _ in range(rng.choice([1, 2, 3, 5, 8, 14])):
             kind = rng.random()
-            if kind < 0.6:
+            if rng.random() < 0.06:
+                out.append(rng.choice([advert, advert, notice, form, sidebar])())
+            elif kind < 0.6:
                 out.append(f"<p>{label(1, passage())}" + "</p>" * (rng.random() < 0.8))
             elif kind < 0.68:
                 out.append(f"<p><b>{label(1, sentence())}<br>")
@@ -362,8 +372,6 @@ def labelled_pages(n: int = 260, seed: int = 11) -> list[tuple[list[Block], list
                 out.append(f'<p>{label(1, sentence())} <a href="/x">{phrase()}</a> {sentence()}</p>')
             elif kind < 0.94:
                 out.append(f"<figure><img src=x><figcaption>{label(1, sentence())}</figcaption></figure>")
-            elif kind < 0.97:
-                out.append(rng.choice([advert, notice, form, sidebar])())
             else:
                 out.append(f"<pre>{label(1, sentence())}</pre>")
         return "".join(out)

@@ -32,12 +32,76 @@ def test_omitted_ends_swallow_nothing():
     assert texts("<head><title>x</title><p>one<p>two") == ["one", "two"]
     assert texts("<html><head><meta charset=a><style>p{}</style>\n<link href=b>\nbare <div>three</div>") == ["bare", "three"]
     assert texts("<div><svg><path d=x><g></div><p>after") == texts("<div><template><p>no</div><p>after") == texts("<div><object data=x></div><p>after") == ["after"]
-    assert texts("<body><svg><text>no</text><p>yes</p>") == texts("<math><mi>x</mi><div>yes</div>") == ["yes"]
+    assert texts("<body><svg><text>no</text><p>yes</p>") == ["yes"] and texts("<math><mi>x</mi><div>yes</div>") == ["x", "yes"]
     assert texts("<svg><foreignObject><div>no</div></foreignObject><title>no</title></svg><p>yes") == ["yes"]
     assert texts("<div><template><script>'</div>'</script>no<div>no</div></template>yes</div>") == ["yes"]
     assert texts("<div><object><object></object>no</object>yes</div>") == ["yes"]
 
 
+def test_no_depth_is_too_deep_and_formulas_stay():
+    assert texts("<p>We know that <math><semantics><mi>x</mi><mo>&gt;</mo><mn>1</mn><annotation encoding=tex>x > 1</annotation></semantics></math> holds.") == ["We know that x>1 holds."]
+    deep = "".join(f"<div class=k{i}>t{i}" for i in range(30_000)) + "</p></span></li>" * 30_000 + "</div>" * 30_000 + "<p>end"
+    assert texts(deep) == [*(f"t{i}" for i in range(30_000)), "end"]
+    assert H.features(H.blocks("<p>" + "word " * 200 + "| x | y"))[0, H.NAMES.index("symbols")] == 1
+
+
+#: Written by hand, unlike the made pages: (page, main text).
+PAGES = [
+    ("""<!DOCTYPE html><html><head><title>Rain returns - The Daily</title><body><div class="cookie-banner"><p>We use cookies to improve this site.</p><button>Accept</button></div>
+<header class="site-header"><a href="/">The Daily</a><nav><ul><li><a href="/w">World</a><li><a href="/s">Sport</a></ul></nav></header>
+<main><article><h1>Rain returns to the valley</h1><p>After six dry weeks, rain fell on Tuesday night, farmers said.<p>The river rose by <b>twelve</b> centimetres &mdash; less than feared.
+<div class="ad">Buy two boots, get one free!</div><h2>What comes next</h2><p>More rain is expected on Friday, and the weekend will be cool.</article></main>
+<aside class="sidebar"><h3>Most read</h3><ul><li><a href="/1">Bridge closed</a><li><a href="/2">New mayor</a></ul></aside>
+<section id="comments"><h3>2 comments</h3><div class="comment"><p>Finally some rain, my garden was dying out there.</p></div><div class="comment"><p>They said that last week as well.</p></div></section>
+<footer>&copy; 2024 The Daily. All rights reserved.</footer></body></html>""",
+     "Rain returns to the valley After six dry weeks, rain fell on Tuesday night, farmers said. The river rose by twelve centimetres — less than feared. What comes next More rain is expected on Friday, and the weekend will be cool."),
+    ("""<html><body><div id="nav" class="menu"><a href="/">Home</a> | <a href="/about">About</a></div><div class="content"><h1>Baking bread</h1><p>Mix flour, water and salt, then wait for an hour.</p>
+<ul><li>500 g of flour<li>350 g of water</ul><p>Bake it in a hot oven until the crust is dark.</p><table><tr><td>Time<td>45 min</table></div>
+<form action="/search"><label>Search</label><input name=q><button>Go</button></form><div class="footer">Contact us by mail</div></body></html>""",
+     "Baking bread Mix flour, water and salt, then wait for an hour. 500 g of flour 350 g of water Bake it in a hot oven until the crust is dark. Time 45 min"),
+    ("""<nav><a href=a>One</a> <a href=b>Two</a></nav><h1>Notes</h1><p>The first note is short, but it is a sentence.<p>The second note goes on for somewhat longer, with a comma.<script>track()</script><footer>Copyright someone</footer>""",
+     "Notes The first note is short, but it is a sentence. The second note goes on for somewhat longer, with a comma."),
+    ("", ""), ("<nav><ul><li><a href=/x>Only</a><li><a href=/y>Menus</a></ul></nav>", ""),
+]
+
+
+def test_pages_labelled_by_hand(model):
+    for page, text in PAGES:
+        assert H.main_text(page, model) == text
+
+
+def article_text(html):
+    """What the tables' layout says: all text of the article element, by another parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        inside, out = 0, ""
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.out += " " if tag in ("p", "h1", "br") else ""
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            self.out += " " if tag in ("p", "h1") else ""
+
+        def handle_data(self, data):
+            self.out += data if self.inside else ""
+
+    r = Reader()
+    r.feed(html or "")
+    return " ".join(r.out.split())
+
+
+def test_query_against_the_article_elements(spark):
+    from millrace.llm.queries import op9_html_extraction
+
+    folder = "/root/testdata/sf0.01"
+    want = {r.page_id: article_text(r.html) for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    got = op9_html_extraction(spark, folder).collect()
+    assert {r.page_id: r.text for r in got} == want and len(got) == len(want) and all(r.n_chars == len(r.text) for r in got)
+
+
 def test_gradient_and_viterbi_against_enumeration():
     rng = np.random.default_rng(0)
     m = H.Crf()
