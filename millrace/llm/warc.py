@@ -31,6 +31,7 @@ from .common import bound_batches, drop_path, new_folder, shuffle_partitions, wr
 
 FILE_BYTES, SPLIT_BYTES = 256 << 20, 16 << 20
 _NO_ID = -(1 << 63)
+SALTS = 16
 _READ = 1 << 18
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08[\x00-\x1f]")
 _WIDEST = 10
@@ -76,7 +77,12 @@ def write_archives(pages: DataFrame, folder: str, compress: bool = True, min_byt
     ids = rows.select("page_id", "sha", F.octet_length("html").alias("n")).where(F.col("n") >= min_bytes)
     best = ids.groupBy("sha").agg(F.max("page_id").alias("best"), F.count("*").alias("copies")).where("copies > 1")
     copied = ids.join(best, "sha").select("page_id", "sha", "best").distinct()
-    placed = rows.repartition(shuffle_partitions(spark), "page_id").join(copied.repartition(shuffle_partitions(spark), "page_id"), ["page_id", "sha"], "left").sortWithinPartitions("page_id", "sha", "url").select("page_id", "url", "html", "sha", "best")
+    # Both sides meet where they are placed, by id, payload and, for pages without an id, one of a few salts.
+    keys, salts = ["page_id", "sha", "salt"], F.sequence(F.lit(0), F.lit(SALTS - 1))
+    rows = rows.withColumn("salt", F.when(F.col("page_id") == _NO_ID, F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")).otherwise(0))
+    copied = copied.withColumn("salt", F.explode(F.when(F.col("page_id") == _NO_ID, salts).otherwise(F.array(F.lit(0)))))
+    parts = shuffle_partitions(spark)
+    placed = rows.repartition(parts, *keys).join(copied.repartition(parts, *keys), keys, "left").sortWithinPartitions("page_id", "sha", "url").select("page_id", "url", "html", "sha", "best")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)

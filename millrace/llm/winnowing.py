@@ -26,7 +26,7 @@ from .common import bound_batches, shuffle_partitions
 K, WINDOW = 16, 16
 _BASE, _STRETCH, _POS = 0x9E3779B97F4A7C15, 1 << 20, 24
 _LOW = np.uint64((1 << _POS) - 1)
-_LAST = -(1 << 63)
+_LAST, _SPREAD = -(1 << 63), 1 << 40
 
 
 def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
@@ -117,7 +117,10 @@ def _in_order(docs: DataFrame, parts: int) -> DataFrame:
     Texts are shuffled once. The cut points and heads, of which there are as many as partitions, are
     found from the ids alone.
     """
-    ids = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"))
+    # Rows without an id come last, in the order of their texts; five bytes of these spread them, so that they too can be cut.
+    head = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 5)), 10, "0"), 16, 10).cast("long")
+    order = F.coalesce("doc_id", F.lit(_LAST + _SPREAD) - head)
+    ids = docs.select(order.alias("id"))
     cuts = sorted({int(x) for x in ids.approxQuantile("id", [i / parts for i in range(1, parts)], 0.25 / parts)}, reverse=True) if parts > 1 else []
     groups = [cuts[i : i + 64] for i in range(0, len(cuts), 64)] or [[]]
 
@@ -133,7 +136,7 @@ def _in_order(docs: DataFrame, parts: int) -> DataFrame:
     live = sorted(heads)
     before = {p: live[i - 1] for i, p in enumerate(live)}  # the first one's head follows the last partition
     back = F.array(*(F.lit(before.get(p, 0)) for p in range(len(cuts) + 1)))
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("id")).withColumn("part", place(F.col("id")))
+    rows = docs.select("doc_id", "text", order.alias("id")).withColumn("part", place(F.col("id")))
     own = F.struct(F.col("part").alias("to"), F.lit(0).alias("trailer"))
     copy = F.struct(F.element_at(back, F.col("part") + 1).alias("to"), F.lit(1).alias("trailer"))
     sent = F.when(F.col("id").isin(list(heads.values())), F.array(own, copy)).otherwise(F.array(own))
