@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 
 def split_by_headings(elements: DataFrame) -> DataFrame:
@@ -43,20 +43,21 @@ def heading_context(elements: DataFrame, levels: int = 6) -> DataFrame:
     return elements.withColumn("context", F.array_join(F.transform(found, lambda s: s["text"]), " > "))
 
 
-@pandas_udf(ArrayType(IntegerType()))
+@pandas_udf(ArrayType(StructType([StructField("first", IntegerType()), StructField("n", IntegerType()), StructField("tokens", LongType())])))
 def pack_in_order(sizes: pd.Series, budget: pd.Series) -> pd.Series:
-    """The pack of each size: a new one begins where the next size would overfill a pack that isn't empty."""
+    """Where each pack begins, how many sizes it takes and their sum: a new one begins where the next size would
+    overfill a pack that isn't empty."""
 
     def one(xs, most: int):
         if xs is None:
             return None
-        out, pack, total, empty = [], 0, 0, True
-        for x in xs:
-            if not empty and total + x > most:
-                pack, total, empty = pack + 1, 0, True
-            out.append(pack)
-            total, empty = total + x, False
-        return out
+        out, first, total = [], 0, 0
+        for i, x in enumerate(xs):
+            if i > first and total + x > most:
+                out.append((first, i - first, total))
+                first, total = i, 0
+            total += x
+        return [*out, (first, len(xs) - first, total)] if len(xs) else []
 
     return pd.Series([one(xs, int(b)) for xs, b in zip(sizes, budget)])
 
@@ -64,12 +65,13 @@ def pack_in_order(sizes: pd.Series, budget: pd.Series) -> pd.Series:
 def greedy_packs(docs: DataFrame, units: Column, size, budget: int, joint: str = "\n") -> DataFrame:
     """``doc_id, split_sequence, split_total, n_units, n_tokens, text``: units of each row packed in order.
 
-    Units stay inside their row: the counts go through one Arrow function and nothing is shuffled."""
-    rows = docs.select("doc_id", units.alias("units")).withColumn("sizes", F.transform("units", size)).withColumn("packs", pack_in_order("sizes", F.lit(budget)))
-    zipped = F.arrays_zip("units", "sizes", "packs")
-    packs = rows.select("doc_id", zipped.alias("z"), F.array_max("packs").alias("last")).where(F.col("last").isNotNull())
-    parts = packs.select("doc_id", "z", "last", F.explode(F.sequence(F.lit(0), "last")).alias("k")).withColumn("mine", F.filter("z", lambda s: s["packs"] == F.col("k")))
-    return parts.select("doc_id", F.col("k").alias("split_sequence"), (F.col("last") + 1).alias("split_total"), F.size("mine").alias("n_units"), F.aggregate("mine", F.lit(0), lambda a, s: a + s["sizes"]).alias("n_tokens"), F.array_join(F.transform("mine", lambda s: s["units"]), joint).alias("text"))
+    Units stay inside their row: the sizes go through one Arrow function, each pack's slice is joined before
+    packs become rows, so a text is copied once however many packs it has, and nothing is shuffled. Null
+    and empty unit lists give no pack; repeated rows are packed each."""
+    rows = docs.select("doc_id", units.alias("units")).withColumn("packs", pack_in_order(F.transform("units", size), F.lit(budget)))
+    made = F.transform("packs", lambda p: F.struct(p["n"].alias("n"), p["tokens"].alias("tokens"), F.array_join(F.slice("units", p["first"] + 1, p["n"]), joint).alias("text")))
+    parts = rows.select("doc_id", F.size("packs").alias("total"), F.posexplode(made).alias("k", "p"))
+    return parts.select("doc_id", F.col("k").alias("split_sequence"), F.col("total").alias("split_total"), F.col("p.n").alias("n_units"), F.col("p.tokens").cast("int").alias("n_tokens"), F.col("p.text").alias("text"))
 
 
 def token_windows(docs: DataFrame, text: str = "text", size: int = 200, overlap: int = 20) -> DataFrame:
@@ -79,6 +81,7 @@ def token_windows(docs: DataFrame, text: str = "text", size: int = 200, overlap:
     words = F.filter(F.split(F.col(text), "[ \t\n\r]+"), lambda w: w != "")
     rows = docs.select("doc_id", words.alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - overlap - 1, F.lit(0)), F.lit(size - overlap))
-    cut = rows.select("doc_id", "w", F.posexplode(starts).alias("slice", "start"))
-    mine = F.slice("w", F.col("start") + 1, F.lit(size))
-    return cut.select("doc_id", "slice", "start", F.size(mine).alias("n_tokens"), F.array_join(mine, " ").alias("text"))
+    # Windows are cut before they become rows, so no row carries its whole text.
+    mine = F.transform(starts, lambda at: F.struct(at.alias("start"), F.slice("w", at + 1, F.lit(size)).alias("w")))
+    cut = rows.select("doc_id", F.posexplode(mine).alias("slice", "s"))
+    return cut.select("doc_id", "slice", F.col("s.start").alias("start"), F.size("s.w").alias("n_tokens"), F.array_join("s.w", " ").alias("text"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, text
-from ..operators import chunking, graph, merging, rendering, resolution, splitting, structure, sync
+from ..operators import cascade, chunking, graph, merging, rendering, resolution, splitting, structure, sync
 from ..sources import html, registry, tables
 from .tables import shared_dir, write_table
 
@@ -246,12 +246,19 @@ def sync_versioned_sink(spark, d):
     sink = lambda rows: rows.select("source_id", F.col("token").alias("source_hash"), F.lit("").alias("content_hash"))
     import uuid
 
-    store = sync.VersionedTable(spark, f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}")
+    store = sync.VersionedTable(spark, f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}", buckets=16)
     store.replace(sink(old))
     sync.sync(store, now, sink, "source_id long, source_hash string, content_hash string")
     return store.read().select("source_id", "source_hash")
 
 
+@query
+def split_cascade(spark, d):
+    """Conversations cut into parts of at most 160 words: by headings, then elements, sentences and slices."""
+    cut = cascade.split_cascade(talk(spark, d), budget=160, overlap=20)
+    return cut.select("doc_id", "split_sequence", "split_total", "how", "n_tokens", F.sha2("text", 256).alias("text_hash"))
+
+
 @query
 def mention_finalize_ids(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("source_id"), F.lit(0).alias("split"), F.col("o_orderkey").alias("place"), F.sha2("o_orderpriority", 256).alias("content_hash"), F.concat(F.lit('{"status":"'), F.col("o_orderstatus"), F.lit('"}')).alias("payload"))
@@ -392,7 +399,7 @@ def stream_sync_available_now(spark, d):
 
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows, at = write_table(table(spark, d, "documents").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("source_id"), F.sha2("text", 256).alias("token")), "stream-input")
-    store = sync.VersionedTable(spark, f"{folder}/sink")
+    store = sync.VersionedTable(spark, f"{folder}/sink", buckets=16)
     sink = lambda r: r.select("source_id", F.col("token").alias("source_hash"), F.lit("").alias("content_hash"))
-    start(spark.readStream.schema(rows.schema).parquet(at), store, sink, "source_id long, source_hash string, content_hash string", f"{folder}/state").awaitTermination()
+    start(spark.readStream.schema(rows.schema).parquet(at), store, sink, "source_id long, source_hash string, content_hash string", f"{folder}/state", order="source_id").awaitTermination()
     return store.read().select("source_id", "source_hash")

@@ -14,19 +14,19 @@ from pyspark.sql import functions as F
 from ..operators.sync import VersionedTable, sync
 
 
-def apply_batch(table: VersionedTable, produce: Callable[[DataFrame], DataFrame], schema: str, order: str = "token") -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: of a source that comes more than once in a batch, the last by ``order`` counts;
-    sources that a batch doesn't name are left alone."""
+def apply_batch(table: VersionedTable, produce: Callable[[DataFrame], DataFrame], schema: str, order: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: of a source that comes more than once in a batch, the last by ``order`` counts (a
+    sequence number or time of change; of equal ones that of the greatest token); sources that a batch doesn't name are left alone."""
 
     def run(batch: DataFrame, _: int) -> None:
-        last = Window.partitionBy("source_id").orderBy(F.col(order).desc())
+        last = Window.partitionBy("source_id").orderBy(F.col(order).desc(), F.col("token").desc())
         rows = batch.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
         sync(table, rows, produce, schema, delete_orphans=False)
 
     return run
 
 
-def start(stream: DataFrame, table: VersionedTable, produce: Callable[[DataFrame], DataFrame], schema: str, checkpoint: str, order: str = "token"):
+def start(stream: DataFrame, table: VersionedTable, produce: Callable[[DataFrame], DataFrame], schema: str, checkpoint: str, order: str):
     """Everything that is there now, in micro-batches, then stop."""
     return stream.writeStream.foreachBatch(apply_batch(table, produce, schema, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

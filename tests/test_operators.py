@@ -115,7 +115,9 @@ def test_registry(spark):
 def test_packing_in_order_conserves_and_fits(sizes, budget):
     import pandas as pd
 
-    packs = splitting.pack_in_order.func(pd.Series([sizes]), pd.Series([budget]))[0]
+    made = splitting.pack_in_order.func(pd.Series([sizes]), pd.Series([budget]))[0]
+    assert all(total == sum(sizes[first : first + n]) and n > 0 for first, n, total in made)
+    packs = [k for k, (_, n, _) in enumerate(made) for _ in range(n)]
     assert len(packs) == len(sizes) and packs == sorted(packs) and set(packs) == set(range(len(set(packs))))
     for k in set(packs):
         mine = [s for s, p in zip(sizes, packs) if p == k]
@@ -236,12 +238,40 @@ def test_sync_contract_and_crashes(spark):
     assert sync.repeated_sources(first.union(first.where("source_id = 'a'"))).first().source_id == "a"
 
 
+def test_untouched_buckets_keep_their_files_and_writers_conflict(spark):
+    store = sync.VersionedTable(spark, f"{shared_dir(spark)}/buckets-{uuid.uuid4().hex}", buckets=8)
+    rows = spark.createDataFrame([(f"s{i}", "1", "", i) for i in range(100)], SINK)
+    assert store.replace(rows) == 1
+    before = store._manifest()["buckets"]
+    other = sync.VersionedTable(spark, store.folder, buckets=8)
+    assert other.delete_keys(spark.createDataFrame([("s7",)], "source_id string")) == 2
+    after = other._manifest()["buckets"]
+    assert sum(before[b] != after[b] for b in before) == 1 and sorted(r.row for r in store.read().collect()) == [i for i in range(100) if i != 7]
+    with pytest.raises(sync.Conflict):
+        store.replace(rows, expected=1)
+    held = store._manifest
+    store._manifest = lambda: {**held(), "version": 1}  # read before the other writer committed
+    with pytest.raises(sync.Conflict):
+        store.replace(rows, expected=1)
+    assert other.read().count() == 99
+
+
+def test_packs_of_a_long_text_are_linear(spark):
+    from millrace.operators import splitting
+
+    text = "\n".join(f"line {i} of some words" for i in range(200_000))
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    units = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    got = splitting.greedy_packs(df, units, lambda u: F.size(F.split(u, " ")), 50)
+    assert got.agg(F.count("*"), F.sum("n_units"), F.max("n_tokens"), F.max("split_total")).first()[:] == (20_000, 200_000, 50, 20_000)
+
+
 def test_stream_is_idempotent(spark, tmp_path):
     from millrace.streaming.sync import apply_batch
 
     store = sync.VersionedTable(spark, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
     batch = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "source_id string, token string")
-    run = apply_batch(store, lambda s: s.select("source_id", F.col("token").alias("source_hash"), F.lit("").alias("content_hash"), F.lit(1).alias("row")), SINK)
+    run = apply_batch(store, lambda s: s.select("source_id", F.col("token").alias("source_hash"), F.lit("").alias("content_hash"), F.lit(1).alias("row")), SINK, order="token")
     for n in (0, 0):
         run(batch, n)
     assert sorted((r.source_id, r.source_hash) for r in store.read().collect()) == [("a", "2"), ("b", "1")]
