@@ -1,7 +1,9 @@
 import random
 
 import corpus_pipeline as P
+import numpy as np
 
+from millrace.llm import jaccard
 from millrace.llm.jaccard import first_copies, near_copies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -70,3 +72,25 @@ def test_repeated_ids_are_decided_by_their_texts(spark):
     # Of id 1 each text stays, for each is the first of its own component; equal rows stay once.
     assert sorted((str(r.doc_id), r.text, r["__id"]) for r in got.collect()) == sorted([("1", one, "x"), ("1", two, "w"), ("4", far, "x"), ("None", far, "x"), ("None", far, "x")])
     assert first_copies(docs.limit(0)).collect() == []
+
+
+def test_candidates_are_the_pairs_that_a_fingerprint_part_links(spark):
+    rng = np.random.default_rng(8)
+    fps = [rng.integers(0, 256, jaccard.PARTS * jaccard.PART_BITS // 8, dtype=np.uint8) for _ in range(150)]
+    # Copies with bits turned, among them many that share whole parts.
+    fps += [f ^ np.packbits(rng.random(8 * len(f)) < rng.choice([0.01, 0.1, 0.16, 0.25])) for f in fps[:100]] + [fps[0] ^ np.packbits(rng.random(8 * len(f)) < 0.02) for f in fps[:40]]
+    n = [int(x) for x in rng.choice([100, 110, 140], len(fps))]
+    bits = np.unpackbits(np.array(fps), axis=1)
+    want = set()
+    for i in range(1, len(fps)):
+        apart = bits[:i] ^ bits[i]
+        parts, words = apart.reshape(i, jaccard.PARTS, -1).sum(axis=2), apart.reshape(i, -1, 64).sum(axis=2)
+        first = np.arange(jaccard.PARTS) * jaccard.PART_BITS // 64 + 2
+        check = words[:, first % words.shape[1]] + words[:, (first + 1) % words.shape[1]]
+        linked = ((parts <= jaccard.BUDGET) & (check <= jaccard.CHECK_MOST)).any(axis=1)
+        want |= {(i, j) for j in np.flatnonzero(linked) if 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j])}
+    nodes = spark.createDataFrame([(i, n[i], f.tobytes()) for i, f in enumerate(fps)], "node long, n long, fp binary").repartition(3)
+    for block in (jaccard.BLOCK, 40):
+        got = jaccard.candidates(nodes, len(fps), block=block).collect()
+        assert len(got) == len(want) and {(r.u, r.v) for r in got} == want
+    assert len(want) > 500 and jaccard.candidates(nodes.limit(0), 0).collect() == []
