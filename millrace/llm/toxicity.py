@@ -39,6 +39,8 @@ SAMPLE, SAMPLE_BYTES = 3000, 24_000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, LONGEST = 48, 32, 14
 WITNESSES, RIVALS = 3000, 6000
 DECAY, SPAN, NEAR, REJECT = 0.7, 7, 0.42, 0.7
+#: Groups of toxic landmarks for which the bound that sifts words is taken at once.
+GROUPS = 12
 #: Words in a window, and the power of the words' kernels that a sentence's adds up.
 WINDOW, POWER = 128, 1.5
 #: Decimal orders by which chance must fail to explain a character run of the toxic texts.
@@ -50,21 +52,52 @@ DISGUISED = 0.3
 CLEAN_TAIL, TOXIC_TAIL = 0.01, 0.05
 #: A landmark with no clean word above this kernel tells by itself.
 ALIKE = 0.8
-_UNIT, _CACHE, _TEXTS = 28, 300_000, 200
+_UNIT, _CACHE, _TEXTS = 28, 400_000, 200
 _PUNCTUATION = re.compile(r"[^\w\s]+|_+")
 _LEET = str.maketrans("013457", "oieast")
 _SPACED = re.compile(r"(?<!\S)\w(?:\s+\w)+(?!\S)")
+#: The first 256 characters in lower case, and those of them that are neither letters, digits nor white space.
+_LOWER = bytes(ord(chr(c).lower()) for c in range(256))
+_DROPPED = bytes(c for c in range(256) if not (chr(c).isalnum() or chr(c).isspace()))
+
+
+def _lengths(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(len, words), np.int64, len(words))
+
+
+def _measured(text: str | None) -> tuple[list[str], np.ndarray]:
+    """``word_list`` and the words' lengths."""
+    t = text or ""
+    if not t.isascii():
+        t = unicodedata.normalize("NFKC", t)
+    try:
+        t = t.encode("latin-1").translate(_LOWER, _DROPPED).decode("latin-1")
+    except UnicodeEncodeError:
+        t = _PUNCTUATION.sub("", t.lower())
+    words = t.split()
+    lengths = _lengths(words)
+    single = lengths == 1
+    if (single[1:] & single[:-1]).any():
+        words = _SPACED.sub(lambda m: "".join(m[0].split()), t).split()
+        lengths = _lengths(words)
+    return words, lengths
 
 
 def word_list(text: str | None) -> list[str]:
     """The words in order, lower-cased, without punctuation, spaced-out letters joined."""
-    t = unicodedata.normalize("NFKC", text or "").lower()
-    return _SPACED.sub(lambda m: "".join(m[0].split()), _PUNCTUATION.sub("", t)).split()
+    return _measured(text)[0]
+
+
+def _joints(words: list[str], lengths: np.ndarray) -> dict[int, str]:
+    """The places in which ``joined`` isn't empty, with what it holds there."""
+    a, b = lengths[:-1], lengths[1:]
+    return {i: words[i] + words[i + 1] for i in np.flatnonzero((a < 4) & (b < 4) & (a + b > 3)).tolist()}
 
 
 def joined(words: list[str]) -> list[str]:
     """For every word but the last, it and the next one as one word if both are fragments, else nothing."""
-    return [a + b if len(a) < 4 and len(b) < 4 and len(a) + len(b) > 3 else "" for a, b in zip(words, words[1:])]
+    found = _joints(words, _lengths(words))
+    return [found.get(i, "") for i in range(len(words) - 1)]
 
 
 def forms(word: str) -> list[str]:
@@ -98,10 +131,10 @@ def _codes(words: list[str]) -> np.ndarray:
 
 
 def _by_length(words: list[str]) -> dict[int, np.ndarray]:
-    by: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by.setdefault(len(w) + 2, []).append(i)
-    return {n: np.array(at) for n, at in by.items() if n >= 3}
+    """The places of the words of each length, ends included, in order of first appearance."""
+    found, first, count = np.unique(lengths := _lengths(words), return_index=True, return_counts=True)
+    places = np.split(np.argsort(lengths, kind="stable"), np.cumsum(count)[:-1])
+    return {int(found[x]) + 2: places[x] for x in np.argsort(first) if found[x] > 0}
 
 
 def _own(words: list[str]) -> np.ndarray:
@@ -145,6 +178,33 @@ class Features:
         self.table = np.zeros((len(index) + 1, len(marks)), np.float32)
         for row, col, v in cells:
             self.table[row, col] += v
+        self.tops: dict[int, np.ndarray] = {}
+
+    def _tops(self, near: int) -> np.ndarray:
+        """The first ``near`` landmarks in ``GROUPS`` groups of like ones: each feature's greatest weight in each group."""
+        if near not in self.tops:
+            t = self.table[:, :near]
+            like = t.T @ t
+            seeds = [0]
+            while len(seeds) < min(GROUPS, near):
+                seeds.append(int(np.argmin(like[seeds].max(axis=0))))
+            group = like[seeds].argmax(axis=0)
+            self.tops[near] = np.stack([t[:, group == g].max(axis=1, initial=0) for g in range(len(seeds))], axis=1)
+        return self.tops[near]
+
+    def _bound(self, one: np.ndarray, near: int) -> np.ndarray:
+        """For words of one length, as rows of letter numbers: what their kernel to none of the first ``near`` landmarks exceeds."""
+        n, tops = one.shape[1], self._tops(near)
+        one = np.ascontiguousarray(one.T)
+        two = one * np.int32(self.base)
+        three = two * np.int32(self.base)
+        out = np.zeros((one.shape[1], tops.shape[1]), np.float32)
+        for both in range(2, min(SPAN, n)):
+            ends = three[: n - both] + one[both:]
+            for first in range(1, both):
+                f = self.at.take(ends + two[first : first + n - both])
+                out += tops.take(f, axis=0).sum(axis=0) * np.float32(DECAY ** (both + 1))
+        return out.max(axis=1, initial=0)
 
     def raw(self, codes: np.ndarray, near: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows of words of one length that may have a kernel of ``least`` to one of the first ``near``
@@ -152,6 +212,10 @@ class Features:
         n = codes.shape[1]
         local = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
         one = np.where(self.letters[local] == codes, local + 1, 0).astype(np.int32)
+        kept = np.arange(len(codes))
+        if near:
+            kept = np.flatnonzero(self._bound(one, near) >= least * 0.9999)
+            one = one[kept]
         two = one * np.int32(self.base)
         three = two * np.int32(self.base)
         rows, features, values = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
@@ -164,14 +228,6 @@ class Features:
                 features.append(f[hit])
                 values.append(np.full(len(hit), DECAY ** (both + 1), np.float32))
         row, feature, value = map(np.concatenate, (rows, features, values))
-        kept = np.arange(len(codes))
-        if near:
-            most = self.table[:, :near].max(axis=1)
-            kept = np.flatnonzero(np.bincount(row, value * most[feature], len(codes)) >= least * 0.9999)
-            place = np.full(len(codes), -1)
-            place[kept] = np.arange(len(kept))
-            row = place[row]
-            row, feature, value = row[row >= 0], feature[row >= 0], value[row >= 0]
         out = np.zeros((len(kept), self.table.shape[1]), np.float32)
         if len(row):
             order = np.argsort(row, kind="stable")
@@ -232,14 +288,10 @@ class Model:
             np.maximum.at(out, owner[rows], np.maximum(k**POWER @ self.beta, 0))
         return out
 
-    def margin(self, words: list[str], pairs: list[str], worth: dict[str, float]) -> float:
-        """The greatest window's margin, from the words, their joined neighbours and what each is worth."""
-        hot = {w for w in set(words).union(pairs) if worth[w] > 0}
-        if not hot:
-            return self.bias
-        hits = [(i, w) for i, w in enumerate(words) if w in hot]
-        if not hot.isdisjoint(pairs):
-            hits = sorted(hits + [(i, w) for i, w in enumerate(pairs) if w in hot])
+    def margin(self, words: list[str], joints: dict[int, str], worth: dict[str, float]) -> float:
+        """The greatest window's margin, from the words, their joined neighbours and what each is worth, if anything."""
+        hits = [(i, w) for i, w in enumerate(words) if w in worth]
+        hits = sorted(hits + [(i, w) for i, w in joints.items() if w in worth])
         return self.bias + best_window([i for i, _ in hits], [w for _, w in hits], worth)[0]
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
@@ -250,7 +302,7 @@ class Model:
 
 def _owned(words: list[str]) -> tuple[np.ndarray, list[str]]:
     """The words' units, and for each the place of its word."""
-    made = [forms(w) for w in words]
+    made = [[w] if w.isalpha() and 1 < len(w) <= _UNIT and (len(w) < 5 or w[1] != w[3]) else forms(w) for w in words]
     return np.repeat(np.arange(len(words)), [len(m) for m in made]), [u for m in made for u in m]
 
 
@@ -521,30 +573,42 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mo
     return [r.text for r in picked], [r.y for r in picked]
 
 
-_known: dict[bytes, dict[str, float]] = {}
+_known: dict[bytes, tuple[set[str], dict[str, float]]] = {}
 
 
 def score_texts(texts: list[str | None], model: Model) -> np.ndarray:
-    """Each text's probability; what words already seen are worth comes from a cache of bounded size."""
+    """Each text's probability; words already seen that are worth nothing, and what the others are worth, come
+    from a cache of bounded size."""
     key = model.beta.tobytes()
     if key not in _known:
         _known.clear()
-        _known[key] = {}
-    cache = _known[key]
-    margins = np.empty(len(texts))
+        _known[key] = set(), {}
+    idle, worth = _known[key]
+    margins = np.full(len(texts), model.bias)
     for i in range(0, len(texts), _TEXTS):
-        lists = [word_list(t) for t in texts[i : i + _TEXTS]]
-        pairs = [joined(w) for w in lists]
-        words = set().union(*lists, *pairs)
-        fresh = words.difference(cache)
-        if len(fresh) + len(cache) > _CACHE:
-            cache.clear()
+        lists, joints, bags = [], [], []
+        for t in texts[i : i + _TEXTS]:
+            words, lengths = _measured(t)
+            lists.append(words)
+            joints.append(_joints(words, lengths))
+            bags.append(set(words).union(joints[-1].values()))
+        words = set().union(*bags)
+        fresh = words.difference(idle).difference(worth)
+        if len(fresh) + len(idle) + len(worth) > _CACHE:
+            idle.clear()
+            worth.clear()
             fresh = words
         fresh = list(fresh)
         for j in range(0, len(fresh), 50_000):
             part = fresh[j : j + 50_000]
-            cache.update(zip(part, model.worth(part).tolist()))
-        margins[i : i + _TEXTS] = [model.margin(w, p, cache) for w, p in zip(lists, pairs)]
+            value = model.worth(part)
+            idle.update(part)
+            found = {part[x]: float(value[x]) for x in np.flatnonzero(value > 0)}
+            idle.difference_update(found)
+            worth.update(found)
+        for k, bag in enumerate(bags):
+            if worth.keys() & bag:
+                margins[i + k] = model.margin(lists[k], joints[k], worth)
     return model.probability(margins)
 
 

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 from itertools import combinations
 
@@ -47,6 +48,33 @@ def test_kernel_matches_its_definition():
     assert sorted(rows.tolist()) == want and np.allclose(values[np.argsort(rows)], got[want], atol=1e-6)
 
 
+def test_the_bound_rules_out_most_words_and_none_that_is_near():
+    rng = random.Random(3)
+    some = sorted({"".join(rng.choices(WORDS, k=2))[:11] for _ in range(600)})
+    marks, words = some[:48], ["".join(rng.choices("aeinorstdhl", k=9)) for _ in range(4000)] + some
+    features = T.Features(marks)
+    value = T._places(11)[3].astype(float)
+    codes = T._codes([w for w in words if len(w) == 9])
+    kept, _ = features.raw(codes, len(marks), T.NEAR * np.sqrt((value**2).sum()))
+    assert len(kept) < 0.2 * len(codes)
+    full = T.kernel(words, marks)
+    rows, values = features.kernel(words, len(marks), T.NEAR)
+    want = np.flatnonzero(full.max(axis=1) >= T.NEAR)
+    assert len(want) > 48 and sorted(rows.tolist()) == want.tolist() and np.allclose(values[np.argsort(rows)], full[want], atol=1e-6)
+
+
+def test_words_by_their_definition():
+    rng = random.Random(5)
+    letters = list("abC_1.é-ÀÖ\n\xa0\x1c\x85İΣßªµﬁ中🙂²") + [" "] * 14
+    for _ in range(4000):
+        t = "".join(rng.choices(letters, k=rng.randrange(30)))
+        plain = T._PUNCTUATION.sub("", unicodedata.normalize("NFKC", t).lower())
+        words = T._SPACED.sub(lambda m: "".join(m[0].split()), plain).split()
+        assert T.word_list(t) == words
+        assert T.joined(words) == [a + b if len(a) < 4 and len(b) < 4 and len(a) + len(b) > 3 else "" for a, b in zip(words, words[1:])]
+        assert T._owned(words)[1] == [u for w in words for u in T.forms(w)]
+
+
 def test_words_and_their_forms():
     words = lambda t: set(T.word_list(t))
     assert {"idiot", "you"} <= words("You i.d.i.o.t") and "idiot" in words("i d  i o t!") and "idiot" in words("_id-iot_")
