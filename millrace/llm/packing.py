@@ -33,9 +33,78 @@ _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e¡-±´-¸º»¿-ɏ‐-‧‰-›€]*
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _CUT = re.compile(r"(?<=\S)(?= [^\W\d_])")
 _CACHE_SIZE, _STRETCH = 1_000_000, 1 << 19
+#: Longest pieces in bytes that are merged together; longer ones go to the tokenizer.
+_WIDTHS = (8, 16, 32)
+#: Texts of an Arrow batch that are encoded together.
+_TOGETHER = 200
 _held: dict = {}
 
 
+class _Merges:
+    """The merges of a byte-level BPE, for many short pieces at once: in every step each piece joins its
+    pair of the lowest rank, the leftmost of equal ones, until it has none."""
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, model: dict) -> None:
+        vocab = model["vocab"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.pad = max(vocab.values()) + 1
+        keys = np.array([vocab[a] * (self.pad + 1) + vocab[b] for a, b in pairs], np.int64)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self.rank = np.argsort(keys).astype(np.int32)
+        self.keys = keys[self.rank]
+        if (np.diff(self.keys) == 0).any():
+            raise ValueError("a pair has two ranks")
+        # Bytes that are no printable characters stand as characters from 256 on.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = sorted(set(range(256)).difference(printable))
+        self.first = np.array([vocab[chr(b if b in printable else 256 + others.index(b))] for b in range(256)], np.int32)
+
+    @staticmethod
+    def of(made: dict) -> _Merges | None:
+        """For a tokenizer file whose model is nothing but ranked merges of bytes, else nothing."""
+        model = made["model"]
+        odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        if model.get("type") != "BPE" or not model["merges"] or any(model.get(k) for k in odd):
+            return None
+        try:
+            return _Merges(model)
+        except (KeyError, ValueError):
+            return None
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) * (self.pad + 1) + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], self.NONE)
+
+    def encode(self, raw: list[bytes], width: int) -> list[bytes]:
+        """The ids of pieces of at most ``width`` bytes."""
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        places = np.arange(width + 1)
+        ids = np.full((len(raw), width + 1), self.pad, np.int32)
+        ids[places < size[:, None]] = self.first[np.frombuffer(b"".join(raw), np.uint8)]
+        left, now = np.arange(len(raw)), ids.copy()
+        rank = self._ranks(now[:, :-1], now[:, 1:])
+        while len(left):
+            at = rank.argmin(axis=1)
+            best = rank[np.arange(len(left)), at]
+            more = best < self.NONE
+            if not more.all():
+                ids[left[~more]] = now[~more]
+                left, now, rank, at, best = left[more], now[more], rank[more], at[more], best[more]
+            row, behind = np.arange(len(left)), places[:-1] > at[:, None]
+            now[:, :-1] = np.where(behind, now[:, 1:], now[:, :-1])
+            now[row, at] = self.made[best]
+            rank[:, :-1] = np.where(behind[:, :-1], rank[:, 1:], rank[:, :-1])
+            rank[:, -1] = self.NONE
+            rank[row, at] = self._ranks(now[row, at], now[row, at + 1])
+            row, at = row[at > 0], at[at > 0]
+            rank[row, at - 1] = self._ranks(now[row, at - 1], now[row, at])
+        held, step = ids.astype("<u4").tobytes(), 4 * (width + 1)
+        return [held[i : i + 4 * n] for i, n in zip(range(0, len(held), step), (ids != self.pad).sum(axis=1).tolist())]
+
+
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
 
@@ -56,36 +125,64 @@ class Encoder:
         pre = made["pre_tokenizer"] or {}
         self.by_piece = made["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre.get("use_regex", True)
         self.special = [t["content"] for t in made["added_tokens"]]
+        self.merges = _Merges.of(made) if self.by_piece else None
         self.cache: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _stretch(self, text: str) -> bytes:
-        pieces = _SPLIT.findall(text)
-        try:
-            return b"".join(map(self.cache.__getitem__, pieces))
-        except KeyError:
-            missing = list(set(pieces).difference(self.cache))
-            if len(self.cache) + len(missing) > _CACHE_SIZE:
-                self.cache.clear()
-                missing = list(set(pieces))
-            for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                self.cache[p] = array("I", e.ids).tobytes()
-            return b"".join(map(self.cache.__getitem__, pieces))
+    def _learn(self, pieces: list[str]) -> None:
+        """Put pieces into the cache."""
+        if self.merges:
+            raw = [p.encode() for p in pieces]
+            size = np.fromiter(map(len, raw), np.int64, len(raw))
+            for low, width in zip((0, *_WIDTHS), _WIDTHS):
+                some = np.flatnonzero((size > low) & (size <= width)).tolist()
+                self.cache.update(zip([pieces[i] for i in some], self.merges.encode([raw[i] for i in some], width)))
+            pieces = [pieces[i] for i in np.flatnonzero(size > _WIDTHS[-1]).tolist()]
+        for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
+            self.cache[p] = array("I", e.ids).tobytes()
+
+    def _stretches(self, texts: list[str]) -> list[bytes]:
+        lists = [_SPLIT.findall(t) for t in texts]
+        pieces = set().union(*lists)
+        missing = pieces.difference(self.cache)
+        if len(self.cache) + len(missing) > _CACHE_SIZE:
+            self.cache.clear()
+            missing = pieces
+        self._learn(list(missing))
+        return [b"".join(map(self.cache.__getitem__, x)) for x in lists]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids. Texts meet the cache together, up to a length of ``_STRETCH`` at a time."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, str]] = []
+        length = 0
+
+        def flush() -> None:
+            for (i, _), ids in zip(held, self._stretches([t for _, t in held])):
+                out[i].append(ids)
+            held.clear()
+
+        for i, text in enumerate(texts):
+            if not self.by_piece or any(s in text for s in self.special) or not _PLAIN.fullmatch(text):
+                out[i].append(self._whole(text))
+                continue
+            at = 0
+            while at < len(text):
+                cut = _CUT.search(text, at + _STRETCH // 2) if len(text) - at > _STRETCH else None
+                end = cut.start() if cut else len(text)
+                if length + end - at > _STRETCH:
+                    flush()
+                    length = 0
+                held.append((i, text[at:end]))
+                length += end - at
+                at = end
+        flush()
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
     def encode(self, text: str) -> bytes:
-        if not self.by_piece or any(s in text for s in self.special) or not _PLAIN.fullmatch(text):
-            return self._whole(text)
-        out, at = [], 0
-        while len(text) - at > _STRETCH:
-            cut = _CUT.search(text, at + _STRETCH // 2)
-            if cut is None:
-                break
-            out.append(self._stretch(text[at : cut.start()]))
-            at = cut.start()
-        out.append(self._stretch(text[at:]))
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
 
 def encoder(path: str) -> Encoder:
@@ -96,6 +193,12 @@ def encoder(path: str) -> Encoder:
     return _held[path]
 
 
+def _encoded(enc: Encoder, texts: pa.Array) -> Iterator[bytes]:
+    """Each text's ids, a null's as the empty text's; only a few texts are held at once."""
+    for i in range(0, len(texts), _TOGETHER):
+        yield from enc.encode_all([t or "" for t in texts.slice(i, _TOGETHER).to_pylist()])
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, part, nth`` and, if asked, ``ids``.
 
@@ -111,8 +214,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_
         for b in batches:
             cols: list[list] = [[] for _ in range(7)]
             ids_out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = enc.encode(text.as_py() or "") + closing
+            for doc, ids in zip(b.column(0).to_pylist(), _encoded(enc, b.column(1))):
+                ids += closing
                 n, at, k = len(ids) // 4, 0, 0
                 size = n % capacity or capacity
                 while at < n:

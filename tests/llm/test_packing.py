@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from millrace.llm import packing
 from millrace.llm.packing import encoder, pack, plan, sequences
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +25,49 @@ def test_encoder_equals_the_tokenizer_on_odd_texts(t):
     assert np.frombuffer(encoder(PATH).encode(t), "<u4").tolist() == encoder(PATH).tokenizer.encode(t, add_special_tokens=False).ids
 
 
+class Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.n = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **kw):
+        self.n += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **kw)
+
+
+def test_new_short_pieces_cost_no_call_of_the_tokenizer():
+    enc = packing.Encoder(PATH)
+    plain = enc.tokenizer
+    enc.tokenizer = Counting(plain)
+    text = " ".join(f"thereon{i} wörd, (so {i}) don't\n" for i in range(500)) + "q" * 40
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert enc.tokenizer.n == 1  # the longest piece
+
+
+def test_merges_equal_the_tokenizer():
+    enc = packing.Encoder(PATH)
+    rng = np.random.default_rng(1)
+    pools = ["etaoinshrdlu", "ab", "aàéß€ñ", "".join(map(chr, range(33, 127))), "中🙂\u0301\x00\x7f¡"]
+    pieces = sorted({" " * int(rng.integers(2)) + "".join(rng.choice(list(pools[k % 5]), int(rng.integers(1, 14)))) for k in range(5000)})
+    pieces = [p for p in pieces if len(packing._SPLIT.findall(p)) == 1 and "'" not in p] + [" ", "\n", "\n\n", "'re", " " * 32]
+    for width in (16, 32, 60):
+        some = [p for p in pieces if len(p.encode()) <= width]
+        want = [np.array(e.ids, "<u4").tobytes() for e in enc.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        assert enc.merges.encode([p.encode() for p in some], width) == want
+    assert packing._Merges.of({"model": {"type": "WordPiece", "vocab": {}}}) is None
+    assert packing._Merges.of({"model": {"type": "BPE", "vocab": {"a": 0}, "merges": [["a", "b"]]}}) is None
+
+
+def test_texts_met_together_are_each_encoded_as_alone(monkeypatch):
+    monkeypatch.setattr(packing, "_STRETCH", 64)
+    monkeypatch.setattr(packing, "_CACHE_SIZE", 90)
+    enc = packing.Encoder(PATH)
+    texts = [*TEXTS[:9], "x y " * 40 + "日本", "so it goes " * 30, "", *TEXTS[9:14]]
+    for t, ids in zip(texts, enc.encode_all(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 32), st.integers(1, 50)), max_size=12))
 def test_plan_uses_every_length_once_and_overfills_nothing(pairs):
