@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,16 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark, now = new, _small(_large(now))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def join_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the components of the places ``i`` and ``j`` in ``root``, which holds each place's root: the least of its component, before and after."""
+    while True:
+        p, q = root[i], root[j]
+        apart = p != q
+        if not apart.any():
+            return
+        i, j, p, q = i[apart], j[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root[:] = root[root]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import dates, ids, text
 from millrace.operators import chunking, graph, merging, rendering, resolution, splitting, structure, sync
+from millrace.operators.components import components
 from millrace.plans.tables import shared_dir
 from millrace.sources import layout, registry
 from millrace.sources.html import html_elements, page_elements
@@ -204,6 +205,45 @@ def test_near_pairs_across_blocks(spark):
     assert got == want
 
 
+def moved_rows(spark, df):
+    """Rows that are written to shuffles while ``df`` is computed."""
+    store, doubles = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._gateway.jvm.double, 0)
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, doubles, None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = total()
+    rows = df().collect()
+    return total() - before, rows
+
+
+def test_near_pairs_move_vectors_once(spark):
+    import numpy as np
+
+    v = np.random.default_rng(1).normal(size=(4000, 16)).astype(np.float32)
+    v[1000:1300] = v[0] + 0.001 * v[1000:1300]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").cache()
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    sims = np.round(u @ u.T, 6)
+    np.fill_diagonal(sims, -1)
+    want = {}
+    for i, j in zip(*np.nonzero(sims >= 0.9)):
+        want.setdefault(int(i), []).append((-sims[i, j], int(j)))
+    moved, rows = moved_rows(spark, lambda: resolution.near_pairs(df, 0.9, 5))
+    assert moved < 4000 + 6 * 4000
+    assert {(r.id, r.near_id, r["rank"]) for r in rows} == {(i, j, k) for i, found in want.items() for k, (_, j) in enumerate(sorted(found)[:5], 1)}
+
+
+def test_near_pairs_at_the_threshold(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [6.0, 8.0]), (2, [4.0, 3.0]), (3, [0.0, 0.0]), (4, None), (None, [3.0, 4.0])], "vec_id long, embedding array<double>")
+    for block in (1, 2, 100):
+        assert sorted(map(tuple, resolution.near_pairs(df, 1.0, 5, block=block).collect())) == [(1, 2, 1.0, 1), (2, 1, 1.0, 1)]
+    with pytest.raises(Exception, match="differ in length"):
+        resolution.near_pairs(spark.createDataFrame([(1, [3.0]), (2, [6.0, 8.0])], "vec_id long, embedding array<double>"), 0.5).collect()
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("a", "b", "k"), ("b", "b", "k"), ("c", "a", "m"), ("a", "zz", "k")], "src string, dst string, kind string")
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "node string")
