@@ -312,8 +312,7 @@ def entity_blocking_topk(spark, d):
 def entity_components(spark, d):
     from ..operators.components import components
 
-    pairs = resolution.near_pairs(table(spark, d, "embeddings"), 0.6, None)
-    return components(pairs.select(F.col("id").alias("u"), F.col("near_id").alias("v")))
+    return components(resolution.near_links(table(spark, d, "embeddings"), 0.6))
 
 
 @query

@@ -244,6 +244,19 @@ def test_near_pairs_at_the_threshold(spark):
         resolution.near_pairs(spark.createDataFrame([(1, [3.0]), (2, [6.0, 8.0])], "vec_id long, embedding array<double>"), 0.5).collect()
 
 
+@pytest.mark.parametrize("block", [40, 100_000])
+def test_near_links_have_the_components_of_all_pairs(spark, block):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = np.concatenate([np.repeat(rng.normal(size=(1, 8)), 200, 0) + 0.01 * rng.normal(size=(200, 8)), rng.normal(size=(300, 8))])
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(rng.permutation(500) + 7, v)], "vec_id long, embedding array<double>")
+    rooted = lambda edges: set(map(tuple, components(edges.toDF("u", "v")).collect()))
+    links = resolution.near_links(df, 0.85, block=block)
+    assert rooted(links) == rooted(resolution.near_pairs(df, 0.85, None, block=block).select("id", "near_id"))
+    assert block == 40 or links.count() < 500
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("a", "b", "k"), ("b", "b", "k"), ("c", "a", "m"), ("a", "zz", "k")], "src string, dst string, kind string")
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "node string")
