@@ -178,6 +178,22 @@ def test_merging():
     assert all(o[0] != "insert" for o in merging.align(a, b, insertions=False)) and merging.align([], []) == []
 
 
+def test_merging_passes_documents_through_batches(spark):
+    docs = {d: [(p, f"<p>line {p * d % 5} of {d}</p>") for p in range(d % 9)] for d in range(40)} | {None: [(0, "<p>no id</p>")]}
+    other = {d: [(p, h.replace("line", "<b>line</b>") if p % 3 else h) for p, h in e if p % 4 != 2] for d, e in docs.items() if d != 7} | {99: [(0, "<p>new</p>")]}
+    frame = lambda x: spark.createDataFrame([(d, p, h) for d, e in x.items() for p, h in e], "doc_id long, pos int, html string").repartition(5)
+    want = {(d, n, o[0], *map(tuple, o[1:3]), *o[3:]) for d in docs.keys() | other.keys() for n, o in enumerate(merging.align(docs.get(d, []), other.get(d, [])))}
+    key, had = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, "3")
+    try:
+        ops = merging.merge_operations(frame(docs), frame(other))
+        got = [(r.doc_id, r.seq, r.op, tuple(r.a_pos), tuple(r.b_pos), r.html, r.reason) for r in ops.collect()]
+    finally:
+        spark.conf.set(key, had)
+    assert len(got) == len(want) and set(got) == want
+    assert "MapInArrow" in ops._jdf.queryExecution().toString() and "FlatMapGroups" not in ops._jdf.queryExecution().toString()
+
+
 def test_resolution_rounds(spark):
     table = {"ann": [1.0, 0.0], "anna": [0.99, 0.1], "ann | anna": [0.0, 1.0], "bob": [0.02, 1.0], "cy": [-1.0, 0.0]}
     mentions = spark.createDataFrame([(i, n) for i, n in enumerate(["ann", "anna", "bob", "cy"])], "cluster long, identity string")
